@@ -20,7 +20,7 @@ from . import common
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 #: Measures with the slack that is added to a fence: the least distance from the median that counts.
-MEASURES = {"symbol_ratio": 0.25, "dup_line_ratio": 0.25, "exclaim_ratio": 0.25, "upper_ratio": 0.25, "word_length": 3.0}
+MEASURES = {"symbol_ratio": 0.15, "dup_line_ratio": 0.4, "exclaim_ratio": 0.25, "upper_ratio": 0.25, "word_length": 3.0}
 SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{m} double" for m in MEASURES)
 
 
