@@ -6,6 +6,7 @@ import importlib
 
 #: Query, module, function, name of its SQL in the module.
 QUERIES = [
+    ("op3_simhash_near_dedup", "simhash", "op3", None),
     ("op4_quality_rules", "quality_rules", "op4", None),
     ("op6_mix_sources", "mixing", "op6", "OP6_SQL"),
     ("op8_quality_classifier", "compression_classifier", "op8", None),
