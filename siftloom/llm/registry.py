@@ -8,6 +8,7 @@ import importlib
 QUERIES = [
     ("op3_simhash_near_dedup", "simhash", "op3", None),
     ("op4_quality_rules", "quality_rules", "op4", None),
+    ("op5_substring_dedup", "substrings", "op5", None),
     ("op6_mix_sources", "mixing", "op6", "OP6_SQL"),
     ("op8_quality_classifier", "compression_classifier", "op8", None),
     ("op9_media_columns", "media", "op9", None),
