@@ -12,6 +12,7 @@ QUERIES = [
     ("op5_substring_dedup", "substrings", "op5", None),
     ("op6_mix_sources", "mixing", "op6", "OP6_SQL"),
     ("op7_token_files", "token_files", "op7", None),
+    ("op10_lm_scores", "lm", "op10", None),
     ("op8_quality_classifier", "compression_classifier", "op8", None),
     ("op9_media_columns", "media", "op9", None),
 ]
