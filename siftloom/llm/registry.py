@@ -7,6 +7,7 @@ import importlib
 #: Query, module, function, name of its SQL in the module.
 QUERIES = [
     ("op1_html_main_text", "html_text", "op1", None),
+    ("op2_sentencepiece", "lattice", "op2", None),
     ("op3_simhash_near_dedup", "simhash", "op3", None),
     ("op4_quality_rules", "quality_rules", "op4", None),
     ("op5_substring_dedup", "substrings", "op5", None),
