@@ -10,6 +10,11 @@ many different strings share, as a licence line makes it, would fill one bucket:
 such hot minimisers are found on a sample of the texts, and their windows travel
 singly, dealt by their own hash.  The sample only routes; counts never use it.
 
+Before that, minimisers are counted.  One that is met once has no window that
+could be met twice, so its string stays at home: the others are marked in a
+bitmap of bounded size.  Where the bitmap fills up more strings travel than need
+to, and the result is the same.
+
 What a bucket has found (which windows of a string are repeated) goes back to
 the texts by the strings' 128-bit hashes, and the texts are known by theirs, so
 copies share one answer.
@@ -32,6 +37,9 @@ from . import common
 WINDOW, M = 35, 4
 #: One of so many texts is looked at for hot minimisers; strings that make one hot; hot ones listed at most (8 bytes each).
 SAMPLE, HOT_STRINGS, HOT_MOST = 16, 4096, 50_000
+#: Bits of the bitmap for each minimiser that is met more than once, and the logarithm of its size at least and at most (32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 28
+MIX = 0x9E3779B97F4A7C15
 
 
 class Pieces:
@@ -72,9 +80,13 @@ class Pieces:
         """The windows first to last - 1 as one string."""
         return self.joined[self.starts[first] : self.ends[last + self.window - 2]]
 
-    def strings(self, hot: frozenset) -> Iterator[tuple[int, int, bytes, bool]]:
-        """(first window, route, packed string, whether its minimiser is in it twice); windows of hot minimisers come singly."""
+    def strings(self, routing: "Routing") -> Iterator[tuple[int, int, bytes, bool]]:
+        """(first window, route, packed string, whether its minimiser is in it twice) of strings that can have repeated windows; windows of hot minimisers come singly."""
+        hot, bits, shift = routing.hot, routing.bits, 64 - routing.size
         for a, b, v, twice in self.runs:
+            i = (v * MIX & (1 << 64) - 1) >> shift
+            if not bits[i >> 3] >> (i & 7) & 1:
+                continue
             if v in hot:
                 for i in range(a, b):
                     s = self.span(i, i + 1)
@@ -136,14 +148,58 @@ def hot_minimisers(docs: DataFrame, window: int = WINDOW) -> frozenset:
     return frozenset(r[0] for r in got.orderBy(F.desc("n"), "v").limit(HOT_MOST).collect())
 
 
+class Routing:
+    """Hot minimisers, and a bitmap (of 2 to the power size bits) of those that are met more than once."""
+
+    def __init__(self, hot: frozenset, bits: bytes, size: int):
+        self.hot, self.bits, self.size = hot, bits, size
+
+
+def routing(docs: DataFrame, window: int = WINDOW) -> Routing:
+    """docs: text.  Minimisers are counted over all texts, as often as they stand in a string."""
+
+    def count(c):
+        n: dict[int, int] = {}
+        for t in c["text"]:
+            for _, _, v, twice in Pieces(t, window).runs:
+                n[v] = n.get(v, 0) + 1 + twice
+        return {"v": list(n), "n": list(n.values())}
+
+    often = common.arrow_map(docs.select("text"), count, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).where("n > 1").select("v")
+    often = common.kept(often, "minimisers")
+    size = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * often.count()).bit_length()))
+    block = min(16, size)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(MIX) >> np.uint64(64 - size)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> block), pa.array((at & (1 << block) - 1).astype(np.int32))], ["block", "bit"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, np.ndarray] = {}
+        for b in batches:
+            at, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in np.unique(at).tolist():
+                got.setdefault(k, np.zeros(1 << block, bool))[bit[at == k]] = True
+        packed = [np.packbits(v, bitorder="little").tobytes() for v in got.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.int64()), pa.array(packed, pa.binary())], ["block", "bits"])
+
+    # blocks of 8 KB, 32 MB of them at most
+    blocks = often.mapInArrow(place, "block long, bit int").distinct().repartition("block").mapInArrow(fill, "block long, bits binary")
+    bits = bytearray(1 << size - 3)
+    for r in blocks.collect():
+        bits[r.block << block - 3 : r.block + 1 << block - 3] = r.bits
+    return Routing(hot_minimisers(docs, window), bytes(bits), size)
+
+
 def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs: text.  For each text (by its 128-bit hash k1, k2) that has repeated windows: found, an array of (first, mask)."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_minimisers(docs, window))
+    held = docs.sparkSession.sparkContext.broadcast(routing(docs, window))
 
     def pack(c):
         count: dict[tuple[int, bytes], list] = {}
         for t in c["text"]:
-            for _, route, s, twice in Pieces(t, window).strings(hot.value):
+            for _, route, s, twice in Pieces(t, window).strings(held.value):
                 got = count.setdefault((route, s), [0, twice])
                 got[0] += 1
         return {"route": [k[0] for k in count], "s": [k[1] for k in count], "n": [v[0] for v in count.values()], "twice": [v[1] for v in count.values()]}
@@ -152,7 +208,7 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         out = [], [], [], [], []
         for t in dict.fromkeys(c["text"]):
             k = _ids(t or b"")
-            for first, _, s, _ in Pieces(t, window).strings(hot.value):
+            for first, _, s, _ in Pieces(t, window).strings(held.value):
                 for column, v in zip(out, (*k, *_ids(s), first)):
                     column.append(v)
         return dict(zip(("k1", "k2", "s1", "s2", "first"), out))
