@@ -156,6 +156,23 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     return common.arrow_map(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores threshold or more."""
+    import pyarrow as pa
+
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        score = None
+        for b in batches:
+            score = score or held.value.scorer()
+            for part in common.cut(b):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array([score(t) >= threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.where(~common.held_out(F.col("doc_id"), 5)))

@@ -25,9 +25,9 @@ DIGITS = 3
 MOST_SOURCES = 20_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and the seeded place in the order of its source."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, carry: tuple = ()) -> DataFrame:
+    """doc_id, source, size in words, and the columns that carry names."""
+    return docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(by_source: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -51,20 +51,23 @@ def targets(by_source: DataFrame, share: float = 1.5, max_epochs: float = 2.0, w
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple = WEIGHTS, seed: int = 42, digits: int = DIGITS) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple = WEIGHTS, seed: int = 42, digits: int = DIGITS, carry: tuple = ()) -> DataFrame:
     """docs: doc_id, source, text; other columns are ignored.
 
     One row for each row of docs: doc_id, source, size, source_size, target,
     whole (times taken in full), part (words of one more, partial or full,
-    repetition) and taken = whole * size + part.  A null text has size 0; a null
+    repetition) and taken = whole * size + part, and the columns of docs that carry
+    names.  A null text has size 0; a null
     source is a source, the last; sources of size 0 have target 0; an empty table
     gives no rows.  Repeated rows are rows like any other and tie in the order;
     ties are broken by size and then share one place, of which all take alike as
     long as the target lasts, in the order Spark meets them.
     """
     s = common.kept(sizes(docs), "sizes")
+    all_of = sizes(docs, carry) if carry else s
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    s = s.withColumn("order_key", key).withColumn("bin", F.substring("order_key", 1, digits))
+    dealt = lambda df: df.withColumn("order_key", key).withColumn("bin", F.substring("order_key", 1, digits))
+    s, all_of = dealt(s), dealt(all_of)
     bins = common.kept(s.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     t = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), share, max_epochs, weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -78,16 +81,32 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: t
     cut = cut.select(F.col("b_source").alias("c_source"), F.col("bin").alias("cut_bin"), "before")
     t = t.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source").withColumnRenamed("source", "t_source")
     t = common.small(common.kept(t, "cuts"), MOST_SOURCES)
-    j = s.join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    j = all_of.join(t, F.col("source").eqNullSafe(F.col("t_source")))
     sure = j.where(F.coalesce(F.col("bin") != F.col("cut_bin"), F.lit(True)))
     sure = sure.withColumn("part", F.when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(0).cast("long"))
     inside = Window.partitionBy("source").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = j.where(F.col("bin") == F.col("cut_bin")).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before"))).cast("long"))
-    names = ["doc_id", "source", "size", "source_size", "target", "whole", "part"]
+    names = ["doc_id", "source", "size", "source_size", "target", "whole", "part", *carry]
     return sure.select(*names).unionByName(edge.select(*names)).withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
 
 
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, as often as they are taken.
+
+    A document taken in part, one for each source at most, has its first words,
+    joined by single spaces, and the n_chars of these.
+    """
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    m = mix(packed, carry=("row",), **options)
+    full = m.withColumn("times", (F.col("whole") + F.when(F.col("part") == F.col("size"), F.when(F.col("size") > 0, 1).otherwise(0)).otherwise(0)).cast("int"))
+    full = full.where("times > 0").select(F.explode(F.array_repeat("row", F.col("times"))).alias("row"))
+    part = m.where("part > 0 and part < size").withColumn("part_text", F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(common.WORD), F.lit(0)), 1, F.col("part").cast("int")), " "))
+    new = {"text": F.col("part_text")} | ({"n_chars": F.char_length("part_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    part = part.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return full.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)).unionByName(part)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -172,8 +172,9 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """docs: doc_id, text; other columns are ignored.
 
-    One row for each row of docs: doc_id, fp, component_id (the smallest doc_id
-    that is reachable over links of at most radius bits, itself included).  A
+    One row for each row of docs: doc_id, fp, root (the least fingerprint of the
+    component) and component_id (the smallest doc_id that is reachable over links
+    of at most radius bits, itself included).  A
     null, empty or blank text has fingerprint 0, linked like any other; repeated
     rows are equal and so in one component; a null doc_id is never smallest,
     and a component of none but null ids has a null component_id; an empty table
@@ -185,7 +186,25 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     by_fp = common.kept(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     by_root = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = by_fp.select(F.col("fp").alias("of_fp"), "root").join(by_root, "root")
-    return rows.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
+    return rows.join(by_fp, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each component the document of the smallest doc_id, once.
+
+    Of a component of null ids alone one row of its least fingerprint stays.
+    """
+    rows = common.kept(near_duplicates(docs, radius, width), "components")
+    ids = rows.where("component_id is not null").select(F.col("component_id").alias("stays")).distinct()
+    named = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("stays"), "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null")
+    if rows.where("component_id is null").limit(1).count():
+        fps = rows.where("component_id is null").groupBy("root").agg(F.min("fp").alias("stays"))
+        texts = nameless.select("text").distinct()
+        marked = common.arrow_map(texts.withColumn("doc_id", F.lit(0)), lambda c: {"t": c["text"], "fp": np.fromiter((fingerprint(t, width) for t in c["text"]), np.uint64, len(c["text"])).view(np.int64)}, "t string, fp long")
+        first = marked.join(fps, F.col("fp") == F.col("stays"), "left_semi").groupBy("fp").agg(F.min_by("t", F.coalesce("t", F.lit(""))).alias("t"))
+        return named.unionByName(nameless.join(first, F.col("text").eqNullSafe(F.col("t")), "left_semi").dropDuplicates(["text"]))
+    return named
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

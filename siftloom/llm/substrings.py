@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -267,26 +268,45 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lose every window they have, like other copies; a null doc_id is kept; an
     empty table gives no rows.
     """
-    found = marks(docs, window)
+    out = _cut(docs.select("doc_id", "text"), window)
+    return out.select("doc_id", "n_words", "n_removed", F.col("text").alias("kept_text"))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns: text without the repeated windows, and n_chars, if there, its new length."""
+    out = _cut(docs, window)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def _cut(docs: DataFrame, window: int) -> DataFrame:
+    """docs with text replaced and n_words, n_removed added; its columns travel in one struct, so none can clash."""
+    found = marks(docs, window).withColumnsRenamed({"k1": "f1", "k2": "f2"})
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), "text")
+    row = rows.schema["row"]
 
     def keys(c):
         k = [_ids(t or b"") for t in c["text"]]
-        return {"doc_id": c["doc_id"], "text": [t or b"" for t in c["text"]], "k1": [x[0] for x in k], "k2": [x[1] for x in k]}
+        return c | {"k1": [x[0] for x in k], "k2": [x[1] for x in k]}
 
     def cut(c):
         out = [], [], []
         for t, f in zip(c["text"], c["found"]):
-            words = t.split()
+            words = (t or b"").split()
             drop = cover(len(words), f, window) if f else np.zeros(len(words), bool)
             n = int(drop.sum())
-            for column, v in zip(out, (len(words), n, b" ".join([w for w, d in zip(words, drop) if not d]) if n else t)):
+            for column, v in zip(out, (len(words), n, b" ".join([w for w, d in zip(words, drop) if not d]) if n else t or b"")):
                 column.append(v)
-        return {"doc_id": c["doc_id"], "n_words": out[0], "n_removed": out[1], "kept_text": out[2]}
-
-    keyed = common.arrow_map(docs.select("doc_id", "text"), keys, "doc_id long, text string, k1 long, k2 long")
-    found = found.withColumnsRenamed({"k1": "f1", "k2": "f2"})
-    j = keyed.join(found, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
-    return common.arrow_map(j.select("doc_id", "text", "found"), cut, "doc_id long, n_words long, n_removed long, kept_text string")
+        return {"row": c["row"], "n_words": out[0], "n_removed": out[1], "text": out[2]}
+
+    long, text = T.LongType(), T.StringType()
+    keyed = common.arrow_map(rows, keys, T.StructType([row, T.StructField("text", text), T.StructField("k1", long), T.StructField("k2", long)]))
+    j = keyed.join(found, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left").select("row", "text", "found")
+    done = common.arrow_map(j, cut, T.StructType([row, T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("text", text)]))
+    names = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return done.select(*names, F.col("n_words").alias("n_words"), F.col("n_removed").alias("n_removed"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
