@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 DATE = r"^\d{4}-\d{2}-\d{2}$"
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -28,13 +30,22 @@ def offset_minutes(c: Column) -> Column:
 
 def utc(c: Column, default_offset: str | None = None) -> Column:
     """YYYY-MM-DDTHH:MM:SSZ of ISO or RFC 822 text; null if it is no instant: a date alone, or local time without default_offset."""
-    t = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     iso = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?(?:[.,]\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$"
     mail = r"^(?:[A-Za-z]{3},? )?(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2})(:\d{2})?(?: (Z|UTC|GMT|[+-]\d{4}))?$"
-    month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.initcap(F.regexp_extract(t, mail, 2))).cast("string"), 2, "0")
-    second = lambda x: F.when(x == "", ":00").otherwise(x)
-    local = F.when(t.rlike(iso), F.concat(F.regexp_extract(t, iso, 1), F.lit(" "), F.regexp_extract(t, iso, 2), second(F.regexp_extract(t, iso, 3))))
-    local = local.when(t.rlike(mail), F.concat(F.regexp_extract(t, mail, 3), F.lit("-"), month, F.lit("-"), F.lpad(F.regexp_extract(t, mail, 1), 2, "0"), F.lit(" "), F.regexp_extract(t, mail, 4), second(F.regexp_extract(t, mail, 5))))
-    zone = F.when(t.rlike(iso), F.regexp_extract(t, iso, 4)).when(t.rlike(mail), F.regexp_extract(t, mail, 6))
-    minutes = offset_minutes(F.when(zone == "", F.lit(default_offset)).otherwise(zone))
-    return utc_text(F.timestamp_seconds(F.unix_timestamp(F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss"))) - minutes * 60))
+    get = F.regexp_extract
+
+    def parts(t: Column) -> Column:
+        """Local time, seconds and zone as written; local null if the text has neither form."""
+        month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.initcap(get(t, mail, 2))).cast("string"), 2, "0")
+        day = F.concat(get(t, mail, 3), F.lit("-"), month, F.lit("-"), F.lpad(get(t, mail, 1), 2, "0"), F.lit(" "), get(t, mail, 4))
+        is_iso, is_mail = t.rlike(iso), t.rlike(mail)
+        pick = lambda a, b: F.when(is_iso, a).when(is_mail, b)
+        return F.struct(pick(F.concat(get(t, iso, 1), F.lit(" "), get(t, iso, 2)), day).alias("local"), pick(get(t, iso, 3), get(t, mail, 5)).alias("second"), pick(get(t, iso, 4), get(t, mail, 6)).alias("zone"))
+
+    def instant(p: Column) -> Column:
+        local = F.concat(p["local"], F.when(p["second"] == "", ":00").otherwise(p["second"]))
+        at = F.unix_timestamp(F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss")))
+        zone = F.when(p["zone"] == "", F.lit(default_offset)).otherwise(p["zone"])
+        return utc_text(F.timestamp_seconds(at - let(zone, offset_minutes) * 60))
+
+    return let(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), lambda t: let(parts(t), instant))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Query keys that track visitors or sessions.
 TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "_ga", "_gl", "ref", "ref_src", "sid", "phpsessid", "jsessionid", "aspsessionid", "sessionid", "session_id")
 #: The parts of a URI reference, by RFC 3986, appendix B: scheme, authority, path, query, fragment.
@@ -85,11 +87,6 @@ def canonical(href: Column, page: Column | None = None) -> Column:
     return let(raw, lambda r: let(_split(r), lambda s: let(_joined(s), _written)))
 
 
-def let(value: Column, body) -> Column:
-    """body of value, with value computed and written down once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _split(r: Column) -> Column:
     """Scheme, and what follows it, of the href; the parts of the page."""
     h, b = r["h"], r["b"]
