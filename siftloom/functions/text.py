@@ -118,3 +118,10 @@ def name_key(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def ascii_key(c: Column) -> Column:
     """name_key of ASCII names, natively."""
     return collapse(F.translate(F.lower(F.coalesce(c, F.lit(""))), ".,\"'`", "     "))
+
+
+def joined_lines(lines: Column) -> Column:
+    """One title of its lines; a line that ends with a backslash goes on without a space."""
+    step = lambda acc, x: F.when(acc.endswith("\\"), F.concat(F.regexp_replace(acc, r"\\$", ""), x)).when(acc == "", x).otherwise(F.concat(acc, F.lit(" "), x))
+    t = F.trim(F.aggregate(lines, F.lit(""), step))
+    return F.when(t != "", t)

@@ -49,3 +49,51 @@ def utc(c: Column, default_offset: str | None = None) -> Column:
         return utc_text(F.timestamp_seconds(at - let(zone, offset_minutes) * 60))
 
     return let(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), lambda t: let(parts(t), instant))
+
+
+def relabelled(c: Column, offset: str) -> Column:
+    """UTC of text that says Z but means local time at this offset."""
+    return utc(F.regexp_replace(c, r"(?:Z|[+-]00:?00)$", ""), offset)
+
+
+def _day(text: Column, formats: tuple = ("d MMM yyyy", "d MMMM yyyy")) -> Column:
+    return F.coalesce(*(F.try_to_date(text, f) for f in formats))
+
+
+def written(date: Column, time: Column, offset: str) -> Column:
+    """UTC of a date like '25th Sep 2025' and a time like '15:30 PM' (the hours count if they are past noon) at this offset."""
+    day = _day(F.trim(F.regexp_replace(date, r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")))
+    rule = r"(?i)(\d{1,2}):(\d{2})\s*([AP]M)?"
+    part = lambda n: F.regexp_extract(time, rule, n)
+    hour, half = part(1).try_cast("int"), F.upper(part(3))
+    hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
+    stamp = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2))
+    return F.when(time.rlike(rule), utc(stamp, offset))
+
+
+def scheduled(header: Column, schedule: Column, offset: str) -> Column:
+    """Start of an item from a header date dd-mm-yy and the first time of its schedule, in parts joined by ' | '.
+
+    The part of the day may stand at a later time of the same part ('2.00 - 3.00
+    p.m.').  Without any time it is the date alone; null if the date is none.
+    """
+    rule = r"(?i)(\d{1,2})(?:[.:](\d{2}))?\s*([ap])\.?\s*m\.?|(\d{1,2})[.:](\d{2})"
+    head = r"^(\d{2})-(\d{2})-(\d{2}|\d{4})$"
+    year = F.lpad(F.regexp_extract(header, head, 3), 4, "20")
+    day = F.date_format(F.try_to_date(F.concat_ws("-", year, F.regexp_extract(header, head, 2), F.regexp_extract(header, head, 1)), "yyyy-MM-dd"), "yyyy-MM-dd")
+    timed = F.filter(F.split(F.coalesce(schedule, F.lit("")), r" \| "), lambda x: x.rlike(rule))
+
+    def start(p: Column) -> Column:
+        first = F.regexp_extract(p, rule, 0)
+        pick = lambda a, b: F.when(F.regexp_extract(first, rule, a) != "", F.regexp_extract(first, rule, a)).otherwise(F.regexp_extract(first, rule, b))
+        half = F.lower(F.regexp_extract(p, r"(?i)\d\s*([ap])\.?\s*m\b", 1))
+        hour, minute = pick(1, 4).cast("int"), pick(2, 5)
+        hour = F.when((half == "p") & (hour < 12), hour + 12).otherwise(hour)
+        return utc(F.concat(day, F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.when(minute == "", "00").otherwise(minute)), offset)
+
+    return F.when(F.size(timed) == 0, day).otherwise(start(F.get(timed, F.lit(0))))
+
+
+def first_date(c: Column) -> Column:
+    """YYYY-MM-DD of text in one of four forms, the first that fits."""
+    return F.date_format(_day(c, ("yyyy-MM-dd", "d MMM yyyy", "d MMMM yyyy", "d/M/yyyy")), "yyyy-MM-dd")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times, urls
-from ..operators import decisions, discovery, matching, records, runs
-from ..sources import feeds, html
+from ..operators import decisions, discovery, matching, records, runlog, runs
+from ..sources import feeds, fetched, html
 from ..sources.snapshots import query
 from ..streaming.upserts import windowed_counts
 
@@ -500,3 +500,73 @@ def union_counts(spark, sf_dir):
 def windowed_events(spark, sf_dir):
     """An extension: the batch form of the streaming window."""
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "6 hours", "1 hour", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# -- landed responses, logs, written times ------------------------------------
+
+
+@registered("SELECT * FROM (VALUES ('25th Sep 2025', '15:30 PM', '2025-09-25T10:00:00Z'), ('1st January 2025', '9:05 am', '2025-01-01T03:35:00Z'), ('3 Feb 2025', '12:10 AM', '2025-02-02T18:40:00Z'), ('soon', '9:00', NULL), ('3 Feb 2025', 'noon', NULL)) t(day, clock, utc)")
+def written_times(spark, sf_dir):
+    rows = [("25th Sep 2025", "15:30 PM"), ("1st January 2025", "9:05 am"), ("3 Feb 2025", "12:10 AM"), ("soon", "9:00"), ("3 Feb 2025", "noon")]
+    return spark.createDataFrame(rows, "day string, clock string").select("*", times.written(F.col("day"), F.col("clock"), "+05:30").alias("utc"))
+
+
+@registered("SELECT * FROM (VALUES ('28-09-26', 'Tea | 11.00 a.m to 12.45 p.m.', '2026-09-28T05:30:00Z'), ('28-09-26', '2.00 - 3.00 p.m.', '2026-09-28T08:30:00Z'), ('28-09-2026', NULL, '2026-09-28'), ('31-02-26', '2.00', NULL), ('x', '2.00', NULL)) t(header, schedule, start)")
+def scheduled_times(spark, sf_dir):
+    rows = [("28-09-26", "Tea | 11.00 a.m to 12.45 p.m."), ("28-09-26", "2.00 - 3.00 p.m."), ("28-09-2026", None), ("31-02-26", "2.00"), ("x", "2.00")]
+    return spark.createDataFrame(rows, "header string, schedule string").select("*", times.scheduled(F.col("header"), F.col("schedule"), "+05:30").alias("start"))
+
+
+@registered("SELECT * FROM (VALUES ('2025-03-04', '2025-03-04'), ('4 Mar 2025', '2025-03-04'), ('14 March 2025', '2025-03-14'), ('4/3/2025', '2025-03-04'), ('2025-13-01', NULL), ('', NULL)) t(raw, day)")
+def first_dates(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in ("2025-03-04", "4 Mar 2025", "14 March 2025", "4/3/2025", "2025-13-01", "")], "raw string").select("raw", times.first_date(F.col("raw")).alias("day"))
+
+
+@registered("SELECT event_id, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events WHERE event_id % 3 = 0")
+def relabelled_times(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    return e.select("event_id", times.relabelled(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "+05:30").alias("utc"))
+
+
+@registered("SELECT * FROM (VALUES (1, 'On a long title'), (2, 'Two lines'), (3, NULL)) t(id, title)")
+def joined_titles(spark, sf_dir):
+    return spark.createDataFrame([(1, ["On a long ti\\", "tle"]), (2, ["Two", "lines"]), (3, [])], "id int, lines array<string>").select("id", text.joined_lines(F.col("lines")).alias("title"))
+
+
+@registered(
+    f"""WITH {_CANON}, r AS (SELECT page_id, host, path, CASE WHEN host LIKE '%.net' THEN 404 WHEN host LIKE '%.org' THEN 503 ELSE 200 END AS s FROM canon)
+   SELECT page_id, CASE WHEN s = 404 THEN true WHEN s = 503 THEN false ELSE NOT (path LIKE '/en/%' AND path NOT LIKE '/en/1%') END AS allowed FROM r"""
+)
+def robots_gate(spark, sf_dir):
+    c = _canonical(spark, sf_dir).withColumn("u", F.col("canonical"))
+    origin = F.regexp_extract("u", r"^([a-z]+://[^/]+)", 1)
+    rules = c.select(origin.alias("origin")).distinct()
+    status = F.when(F.col("origin").endswith(".net"), 404).when(F.col("origin").endswith(".org"), 503).otherwise(200)
+    rules = rules.select("origin", status.alias("http_status"), F.array(F.lit("/en/")).alias("disallow"), F.array(F.lit("/en/1")).alias("allow"))
+    return fetched.allowed(c.select("page_id", F.col("u").alias("url")), rules).select("page_id", "allowed")
+
+
+@registered("WITH e AS (SELECT event_id, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts), 'http://h' || user_id || '.org/' || event_id))) AS g FROM events) SELECT event_id, CAST(coalesce(g, -1) AS BIGINT) AS pause_s, coalesce(g < 3600, false) AS too_soon FROM e")
+def request_pauses(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    u = F.concat(F.lit("http://h"), F.col("user_id").cast("string"), F.lit(".org/"), F.col("event_id").cast("string"))
+    p = fetched.pauses(e.select(u.alias("url"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("fetched_at")), 3600.0)
+    return p.select(F.regexp_extract("url", r"/(\d+)$", 1).cast("long").alias("event_id"), F.coalesce("pause_s", F.lit(-1)).alias("pause_s"), "too_soon")
+
+
+@registered("SELECT event_type AS run_id, count(*) AS events, count(*) FILTER (value < 10) AS failures, 0 AS ended FROM events GROUP BY event_type")
+def run_log_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return runlog.stage_counts(e.select(F.col("event_type").alias("run_id"), F.when(F.col("value") < 10, "FETCH_ERROR").otherwise("FETCH").alias("stage")))
+
+
+@registered("SELECT event_id, 'FETCH event=' || event_type || ' user=' || user_id AS line FROM events")
+def run_log_lines(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", runlog.line(F.lit("FETCH"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_type"))).alias("line"))
+
+
+@registered("SELECT * FROM (VALUES ('a', 'unknown key: colour'), ('b', 'repeated id')) t(source_id, fault)")
+def configuration_faults(spark, sf_dir):
+    rows = [("a", {"delay": "1", "colour": "x"}), ("b", {"delay": "1"}), ("b", {})]
+    return fetched.configurations(spark.createDataFrame(rows, "source_id string, settings map<string,string>"), ("delay", "timeout"))

@@ -69,3 +69,35 @@ def test_entry_module_works_without_the_optional_parts(tmp_path):
     subprocess.run(["rm", "-rf", f"{tmp_path}/siftloom/llm"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not [x for x in q if x.startswith('op') and x[2].isdigit()] and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_lock_is_held_once_and_taken_over_when_stale(tmp_path):
+    from siftloom.operators import runlog
+
+    path = str(tmp_path / "lock")
+    with runlog.lock(path):
+        with pytest.raises(FileExistsError):
+            with runlog.lock(path):
+                pass
+    assert not os.path.exists(path)
+    open(path, "w").close()
+    os.utime(path, (1, 1))
+    with runlog.lock(path):
+        assert os.path.exists(path)
+
+
+def test_responses_and_bodies(spark):
+    from siftloom.sources import fetched
+
+    r = spark.createDataFrame([("a", 200), ("b", 404), ("c", None)], "url string, http_status int")
+    good, bad = fetched.usable(r)
+    assert [x.url for x in good.collect()] == ["a"] and {(x.url, x.error_type) for x in bad.collect()} == {("b", "http_error"), ("c", "no_response")}
+    b = spark.createDataFrame([(bytearray("é".encode("latin-1")), "text/html; charset=iso-8859-1"), (bytearray("é".encode()), "text/html"), (bytearray(b"x"), None)], "body binary, content_type string")
+    assert [x.t for x in b.select(fetched.body_text(F.col("body"), F.coalesce("content_type", F.lit(""))).alias("t")).collect()] == ["é", "é", "x"]
+
+
+def test_json_items(spark, tmp_path):
+    from siftloom.sources import fetched
+
+    (tmp_path / "items.json").write_text('[{"title": "A", "item_url": "/a"}, {"title": "B", "item_url": null}]')
+    assert [tuple(r) for r in fetched.json_items(spark, f"file://{tmp_path}/items.json", "title string, item_url string").collect()] == [("A", "/a"), ("B", None)]
