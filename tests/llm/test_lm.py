@@ -28,6 +28,12 @@ def test_spelled_contexts():
     assert digits(contexts[3][10], 3) == [119, 122, 121] and contexts[1][1] == 97 and contexts[0].sum() == 0
 
 
+def test_steps_look_past_rare_words():
+    context, cls = lm.steps(np.array([5, 0, 0, 7, 0]), 9)
+    assert context.tolist() == [9, 5, 5, 5, 7, 7] and cls.tolist() == [5, 0, 0, 7, 0, 1]
+    assert [x.tolist() for x in lm.steps(np.array([], np.int64), 9)] == [[9], [1]]
+
+
 @pytest.mark.parametrize("top", [60, 5])
 def test_scores(spark, top):
     texts = prose(11, 120, words=40, vocabulary=150)
