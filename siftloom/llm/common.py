@@ -46,8 +46,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """f over the columns of each Arrow batch, as lists; strings come as UTF-8 bytes."""
+def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema, size: int | None = None) -> DataFrame:
+    """f over the columns of each Arrow batch, as lists, in slices of about size bytes; strings come as UTF-8 bytes."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -57,7 +57,7 @@ def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], sc
         for b in batches:
             if not b.num_rows:
                 continue
-            for part in cut(b):
+            for part in cut(b, size):
                 yield pa.RecordBatch.from_pydict(f(columns(part)), schema=out)
 
     return df.mapInArrow(run, schema)
@@ -67,9 +67,9 @@ def arrow_map(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], sc
 PART_BYTES = 8 << 20
 
 
-def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about PART_BYTES, so that long texts don't pile up as Python objects."""
-    n = max(1, -(-b.nbytes // PART_BYTES))
+def cut(b: pa.RecordBatch, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about size bytes (PART_BYTES), so that long texts don't pile up as Python objects."""
+    n = max(1, -(-b.nbytes // (size or PART_BYTES)))
     step = max(1, -(-b.num_rows // n))
     for i in range(0, b.num_rows, step):
         yield b.slice(i, step)

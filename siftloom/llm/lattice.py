@@ -7,10 +7,14 @@ characters that no piece has.  Each distinct part (a word) is encoded once:
 2. equi-joined to the piece table, which is broadcast (its size is that of the
    model, whatever the input),
 3. the matches, edges of the word's lattice, are grouped by word, and
-4. folded with Spark's higher-order ``aggregate``: for a unigram model by
-   Viterbi (best score of a path to each position, then back), for a BPE model by
-   its merges (again and again the best edge that spans two parts), since the
-   best path over a BPE model's scores is not that model's encoding.
+4. folded: for a unigram model with Spark's higher-order ``aggregate`` by Viterbi
+   (best score of a path to each position, then back), for a BPE model by its
+   merges (again and again the best edge that spans two parts), since the best
+   path over a BPE model's scores is not that model's encoding.
+
+The merges are there in two forms with equal results: with ``aggregate`` (fold =
+"aggregate"), and over the joined edges in Arrow batches, all words of a batch at
+a time (fold = "arrow", the default: see README for the figures of both).
 
 Texts then look their words up.  The table of words is broadcast as sorted
 hashes as long as it has no more than MOST_WORDS words and MOST_IDS ids; of a
@@ -33,7 +37,7 @@ from . import common
 
 SPACE = "▁"
 MOST_WORDS, MOST_IDS = 6_000_000, 40_000_000
-FLUSH = 300_000
+FLUSH, SLICE = 200_000, 2 << 20
 #: Words of more characters take the array form of the merge fold; up to here cuts are bits of a long.
 BITS = 62
 
@@ -108,7 +112,7 @@ def distinct_words(docs: DataFrame, m) -> DataFrame:
             return out
 
         for b in batches:
-            for part in common.cut(b):
+            for part in common.cut(b, SLICE):
                 for text in part.column(0).to_pylist():
                     for w in words_of(text or ""):
                         counts[w] = counts.get(w, 0) + 1
@@ -167,10 +171,111 @@ def viterbi_fold(edges: DataFrame, unknown_score: float) -> DataFrame:
     return e.withColumn("best", F.expr(forward)).select("word", "c", F.expr(back).alias("cuts"))
 
 
-def encoded_words(docs: DataFrame, m: Model, held=None) -> DataFrame:
+def edge_rows(words: DataFrame, m: Model, held) -> DataFrame:
+    """words: word, c.  id, c, s, l, word, o: for each word one row with s = -1 and the word, then its edges (o as in lattice), in a row within a partition."""
+    spark = words.sparkSession
+    ranks = {s: r for r, s in enumerate(sorted({s for _, s, _ in m.pieces}, reverse=True))}
+    table = spark.createDataFrame([(p, ranks[s]) for p, s, _ in m.pieces], "piece string, rank int")
+    longest = m.longest
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                ids, c, s, n, piece = [], [], [], [], []
+                for w, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    cuts = [(i, x) for i in range(len(w) - 1) for x in range(2, min(longest, len(w) - i) + 1)]
+                    ids += [at] * (len(cuts) + 1)
+                    c.append(k)
+                    c += [0] * len(cuts)
+                    s.append(-1)
+                    s += [i for i, _ in cuts]
+                    n.append(0)
+                    n += [x for _, x in cuts]
+                    piece.append(w)
+                    piece += [w[i : i + x] for i, x in cuts]
+                    at += 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(piece, pa.string())], ["id", "c", "s", "l", "piece"])
+
+    sub = words.select("word", "c").mapInArrow(explode, "id long, c long, s int, l int, piece string")
+    j = sub.join(F.broadcast(table), "piece", "left").where("s < 0 or rank is not null")
+    order = F.when(F.col("s") < 0, F.lit(-1)).otherwise(F.expr("cast(rank as long) << 32 | cast(s as long) << 8 | l"))
+    return j.select("id", "c", F.when(F.col("s") < 0, F.col("piece")).alias("word"), order.alias("o"))
+
+
+def merged_cuts(n: np.ndarray, word: np.ndarray, order: np.ndarray) -> list[list[int]]:
+    """Cuts of words of n characters each, by merges; word and order: of each edge, edges of a word in a row."""
+    one = np.uint64(1)
+    s, size = (order >> 8 & 0xFFFFFF).astype(np.uint64), (order & 0xFF).astype(np.uint64)
+    short = n <= BITS
+    bits = np.where(short, (one << np.where(short, n + 1, 1).astype(np.uint64)) - one, np.uint64(0))
+    live = np.nonzero(short[word])[0]
+    with np.errstate(over="ignore"):
+        inner, ends = ((one << (size - one)) - one) << (s + one), one << s | one << (s + size)
+    while len(live):
+        w = word[live]
+        b = bits[w]
+        ok = ((b & ends[live]) == ends[live]) & (np.bitwise_count(b & inner[live]) == 1)
+        first = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1])
+        best = np.minimum.reduceat(np.where(ok, order[live], np.iinfo(np.int64).max), first)
+        went = best < np.iinfo(np.int64).max
+        at, best = w[first][went], best[went]
+        bits[at] &= ~(((one << ((best & 0xFF).astype(np.uint64) - one)) - one) << ((best >> 8 & 0xFFFFFF).astype(np.uint64) + one))
+        again = np.zeros(len(n), bool)
+        again[at] = True
+        live = live[again[w]]
+    out = [[i for i in range(k + 1) if b >> i & 1] for k, b in zip(n.tolist(), bits.tolist())]
+    for w in np.nonzero(~short)[0].tolist():
+        own = order[word == w].tolist()
+        cuts = list(range(int(n[w]) + 1))
+        edges = {(o >> 8 & 0xFFFFFF, (o >> 8 & 0xFFFFFF) + (o & 0xFF)): o for o in own}
+        while pairs := [(edges[a, c], i) for i, (a, c) in enumerate(zip(cuts, cuts[2:])) if (a, c) in edges]:
+            del cuts[min(pairs)[1] + 1]
+        out[w] = cuts
+    return out
+
+
+def arrow_fold(rows: DataFrame, held) -> DataFrame:
+    """rows: of edge_rows.  word, c, ids."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table) -> pa.RecordBatch:
+            order = table.column("o").to_numpy()
+            heads = np.nonzero(order == -1)[0]
+            words = table.column("word").take(pa.array(heads)).to_pylist()
+            owner = np.cumsum(order == -1) - 1
+            edge = order != -1
+            cuts = merged_cuts(np.fromiter(map(len, words), np.int64, len(words)), owner[edge], order[edge])
+            part_ids = held.value.part_ids
+            ids = [[i for a, b in zip(cut, cut[1:]) for i in part_ids(w[a:b])] for w, cut in zip(words, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), table.column("c").take(pa.array(heads)).combine_chunks(), pa.array(ids, pa.list_(pa.int32()))], ["word", "c", "ids"])
+
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            waiting.append(b)
+            size += b.num_rows
+            if size > 200_000:
+                t = pa.Table.from_batches(waiting)
+                last = int(np.nonzero(t.column("o").to_numpy() == -1)[0][-1])  # the last word may go on in the next batch
+                if last:
+                    yield done(t.slice(0, last))
+                waiting = t.slice(last).combine_chunks().to_batches()
+                size = t.num_rows - last
+        if size:
+            yield done(pa.Table.from_batches(waiting))
+
+    return rows.mapInArrow(fold, "word string, c long, ids array<int>")
+
+
+def encoded_words(docs: DataFrame, m: Model, held=None, fold: str = "arrow") -> DataFrame:
     """docs: text.  word, c, ids: the encoding of every distinct word of the texts."""
     held = held or docs.sparkSession.sparkContext.broadcast(m)
-    edges = lattice(distinct_words(docs, held), m)
+    words = distinct_words(docs, held)
+    if fold == "arrow" and not m.unigram:
+        return common.kept(arrow_fold(edge_rows(words, m, held), held), "words")
+    edges = lattice(words, m)
     cuts = viterbi_fold(edges, min((s for _, s, _ in m.pieces), default=0.0) - 10) if m.unigram else merge_fold(edges)
 
     def run(c):
@@ -253,14 +358,14 @@ def encode(docs: DataFrame, m: Model) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
 
     if every:
-        return common.arrow_map(docs, lambda c: c | {"ids": ints(look(c["text"])[0])}, "doc_id long, text string, ids array<int>")
+        return common.arrow_map(docs, lambda c: c | {"ids": ints(look(c["text"])[0])}, "doc_id long, text string, ids array<int>", SLICE)
 
     def mark(c):
         raw, missing = look(c["text"])
         k = [xxhash.xxh3_128_digest(t or b"") for t in c["text"]]
         return c | {"k1": [int.from_bytes(x[:8], "big", signed=True) for x in k], "k2": [int.from_bytes(x[8:], "big", signed=True) for x in k], "ids": ints(raw), "missing": missing}
 
-    marked = common.kept(common.arrow_map(docs, mark, "doc_id long, text string, k1 long, k2 long, ids array<int>, missing array<string>"), "marked")
+    marked = common.kept(common.arrow_map(docs, mark, "doc_id long, text string, k1 long, k2 long, ids array<int>, missing array<string>", SLICE), "marked")
     rest = marked.where("missing is not null")
     asked = rest.select("k1", "k2", "missing").distinct().select("k1", "k2", F.explode("missing").alias("word"))
     asked = asked.join(words.select("word", "ids"), "word").groupBy(F.col("k1").alias("r1"), F.col("k2").alias("r2")).agg(F.collect_list(F.struct("word", "ids")).alias("more"))
@@ -276,7 +381,7 @@ def decode(encoded: DataFrame, m: Model) -> DataFrame:
 
     schema = T.StructType([f for f in encoded.schema.fields if f.name != "decoded"] + [T.StructField("decoded", T.StringType())])
     names = [f.name for f in schema.fields[:-1]]
-    return common.arrow_map(encoded.select(*names), lambda c: c | {"decoded": [held.value.decode(x or ()) for x in c["ids"]]}, schema)
+    return common.arrow_map(encoded.select(*names), lambda c: c | {"decoded": [held.value.decode(x or ()) for x in c["ids"]]}, schema, SLICE)
 
 
 def sentencepiece(docs: DataFrame, path: str) -> DataFrame:
