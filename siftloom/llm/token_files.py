@@ -9,6 +9,7 @@ renamed, so a task that is run again leaves one whole file.
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
@@ -29,6 +30,9 @@ MAGIC = b"SLTK"
 HEAD, FOOT = struct.Struct("<4sHI"), struct.Struct("<QQI4s")
 #: Words whose ids a worker remembers at most; after that it starts anew.
 REMEMBERED = 500_000
+#: What is cut into pre-tokens here, by the pre-tokenizer's own pattern: characters of which all engines agree. Other words go through the library whole.
+SAFE = re.compile("[\\n\\t -~\u00c0-\u024f]*")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space that starts no word, where a text can't be cut.
 OTHER_SPACE, CUT = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
 
@@ -40,11 +44,14 @@ class WordTokenizer:
 
     Its pre-tokenizer always cuts before a space that a character other than
     white space follows, and BPE never crosses such a cut, so a text's ids are
-    those of its pieces between these cuts.
+    those of its pieces between these cuts.  If the file's pre-tokenizer is the
+    usual byte-level one, pieces of SAFE characters are cut into pre-tokens here
+    and the library's model encodes each distinct one.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -52,34 +59,42 @@ class WordTokenizer:
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
-        (self.newline,) = self.lib.encode("\n", add_special_tokens=False).ids
+        self.parts: dict[str, bytes] = {}
+        self.cut = regex.compile(PATTERN).findall
+        own = json.loads(self.lib.to_str())
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.usual = own["normalizer"] is None and own["pre_tokenizer"] == byte_level and own["model"]["type"] == "BPE"
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            tokens = self.lib.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))
+            got = self.parts[part] = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in tokens])
+        return got
+
     def _learn(self, words: Iterable[str]) -> None:
-        """Ids of words as they are after a space: many at once, one a line, if they hold no white space."""
-        plain, known = [], self.words
+        """Ids of words as they are after a space."""
         for w in words:
-            if len(w.split()) == 1 and not w[-1].isspace():
-                plain.append(w)
+            if self.usual and SAFE.fullmatch(w):
+                self.words[w] = b"".join([self._part(p) for p in self.cut(" " + w)])
             else:
-                known[w] = self.raw(" " + w)
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            ids = np.array(self.lib.encode("\n " + "\n ".join(part) + "\n", add_special_tokens=False).ids, dtype=self.dtype)
-            ends = np.nonzero(ids == self.newline)[0]
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            for w, a, b in zip(part, (ends[:-1] + 1).tolist(), ends[1:].tolist()):
-                known[w] = raw[a * size : b * size]
+                self.words[w] = self.raw(" " + w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of dtype."""
         cut = [CUT.split(t) if OTHER_SPACE.search(t) else t.split(" ") for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
+            self.parts.clear()
         new = {w for parts in cut for w in parts[1:]}.difference(self.words)
-        self._learn(sorted(new))
+        self._learn(new)
         get = self.words.__getitem__
         return [(self.raw(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:])) for parts in cut]
 
