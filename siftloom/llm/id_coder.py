@@ -56,7 +56,8 @@ class Coder:
         else:
             self.words = np.zeros((lanes, 64), np.uint16)
 
-    def _narrow(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, r: np.ndarray) -> None:
+    def _narrow(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, r: np.ndarray) -> None:
+        """at: lanes, or a slice of the first ones."""
         low, rng = self.low[at] + start * r, size * r
         self.low[at], self.range[at] = low, rng
         while True:
@@ -65,7 +66,7 @@ class Coder:
             if not len(go):
                 return
             rng = np.where(same[go], rng[go], (~low[go] + U(1)) & (BOT - U(1)))
-            low, at = low[go], at[go]
+            low, at = low[go], go if isinstance(at, slice) else at[go]
             place = self.at[at]
             if self.decoding:
                 self.code[at] = self.code[at] << U(16) | self.words[at, place].astype(U)
@@ -77,7 +78,7 @@ class Coder:
             low, rng = low << U(16), rng << U(16)
             self.low[at], self.range[at] = low, rng
 
-    def bits(self, at: np.ndarray, p: np.ndarray, y: np.ndarray | None) -> np.ndarray:
+    def bits(self, at: np.ndarray | slice, p: np.ndarray, y: np.ndarray | None) -> np.ndarray:
         """Codes a bit for each lane of at; p: 12-bit probability of a one."""
         r = self.range[at] >> U(12)
         p = p.astype(U)
@@ -97,16 +98,17 @@ class Coder:
     def ranged(self, at: np.ndarray, cumulated: np.ndarray, value: np.ndarray | None) -> np.ndarray:
         """Codes a value by the lane's cumulative counts, of which the last is the total."""
         n = cumulated.shape[1] - 1
-        r = self.range[at] // cumulated[at, n].astype(U)
+        flat, row = cumulated.reshape(-1), at * (n + 1)
+        r = self.range[at] // flat.take(row + n).astype(U)
         if value is None:
             want = np.minimum((self.code[at] - self.low[at]) // r, U(2**31)).astype(np.int64)
-            value = np.zeros(len(at), np.int64)
-            step = n >> 1
+            place, step = row.copy(), n >> 1
             while step:
-                value += np.where(cumulated[at, value + step] <= want, step, 0)
+                place += step * (flat.take(place + step) <= want)
                 step >>= 1
-        start = cumulated[at, value].astype(U)
-        self._narrow(at, start, cumulated[at, value + 1].astype(U) - start, r)
+            value = place - row
+        start = flat.take(row + value).astype(U)
+        self._narrow(at, start, flat.take(row + value + 1).astype(U) - start, r)
         return value
 
     def finish(self) -> list[bytes]:
@@ -120,96 +122,119 @@ class Coder:
         return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
 
 
+def _learn(table: np.ndarray, at: np.ndarray, seen: np.ndarray, y: np.ndarray) -> None:
+    """Moves 16-bit probabilities at these places toward what came."""
+    table[at] = seen + ((np.where(y, 65_535, 0) - seen) >> 5)
+
+
 def _run(coder: Coder, ids: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Codes ids (lanes x steps) or, if the coder decodes, fills them.  lengths: of the lanes, not rising."""
+    """Codes ids (lanes x steps) or, if the coder decodes, fills them.  lengths: of the lanes, not rising.
+
+    Tables are flat, a stretch for each lane.  Orders 1 and 2 hold (id + 1) * 16 +
+    confidence, order 0 holds (id + 1) * 64 + count; 0 is empty.
+    """
     lanes = len(lengths)
-    next1, sure1 = np.full((lanes, 1 << BITS1), -1, np.int32), np.zeros((lanes, 1 << BITS1), np.int8)
-    next2, sure2 = np.full((lanes, 1 << BITS2), -1, np.int32), np.zeros((lanes, 1 << BITS2), np.int8)
-    slot_id, slot_n = np.full((lanes, SLOTS), -1, np.int32), np.zeros((lanes, SLOTS), np.int32)
-    cumulated = np.zeros((lanes, SLOTS + 1), np.int32)
+    lane = np.arange(lanes)
+    next1, next2 = np.zeros(lanes << BITS1, np.int64), np.zeros(lanes << BITS2, np.int64)
+    slots, cumulated = np.zeros(lanes * SLOTS, np.int64), np.zeros((lanes, SLOTS + 1), np.int32)
+    flat = cumulated.reshape(-1)
+    row1, row2, row0, rowc, row16 = lane << BITS1, lane << BITS2, lane * SLOTS, lane * (SLOTS + 1), lane << 4
     # 16-bit probabilities: of a hit by confidence of order 2, of order 1, by history of order 0; of a second and a third try
-    p2, p1 = np.full((lanes, 16), 1 << 14, np.int64), np.full((lanes, 16), 1 << 13, np.int64)
-    ph, pb, pc = np.full((lanes, 16), 1 << 13, np.int64), np.full((lanes, 16), 1 << 13, np.int64), np.full((lanes, 16), 1 << 15, np.int64)
-    w = np.full((lanes, 3), 22_000, np.int64)
+    p2, p1 = np.full(lanes << 4, 1 << 14, np.int64), np.full(lanes << 4, 1 << 13, np.int64)
+    ph, pb, pc = np.full(lanes << 4, 1 << 13, np.int64), np.full(lanes << 4, 1 << 13, np.int64), np.full(lanes << 4, 1 << 15, np.int64)
+    weights = [np.full(lanes, 22_000, np.int64) for _ in range(3)]
     before1, before2, history = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     decoding = coder.decoding
+    columns = np.ascontiguousarray(ids.T)
     for t in range(ids.shape[1]):
         n = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
         if not n:
             break
-        at = np.arange(n)
         if t % EPOCH == 0:
-            np.cumsum(slot_n + (slot_id >= 0), axis=1, out=cumulated[:, 1:])
+            np.cumsum(((slots & 63) + (slots > 0)).reshape(lanes, SLOTS), axis=1, out=cumulated[:, 1:])
         a1, a2 = before1[:n], before2[:n]
-        h1 = a1 * 0x9E3779B1 >> 7 & ((1 << BITS1) - 1)
-        h2 = (a1 * 0x85EBCA6B + a2 * 0xC2B2AE35) >> 9 & ((1 << BITS2) - 1)
-        g1, c1 = next1[at, h1], sure1[at, h1].astype(np.int64)
-        g2, c2 = next2[at, h2], sure2[at, h2].astype(np.int64)
-        guess = np.where(g2 >= 0, g2, g1)
+        at1 = row1[:n] + (a1 * 0x9E3779B1 >> 7 & ((1 << BITS1) - 1))
+        at2 = row2[:n] + ((a1 * 0x85EBCA6B + a2 * 0xC2B2AE35) >> 9 & ((1 << BITS2) - 1))
+        v1, v2 = next1.take(at1), next2.take(at2)
+        g1, c1, g2, c2 = (v1 >> 4) - 1, v1 & 15, (v2 >> 4) - 1, v2 & 15
+        guess = np.where(v2 > 0, g2, g1)
         hist = history[:n]
-        true = None if decoding else ids[:n, t]
+        true = None if decoding else columns[t, :n]
         out = np.full(n, -1, np.int64)
-        # the candidate
+        # the candidate, in all lanes that have one
         some = np.nonzero(guess >= 0)[0]
         if len(some):
-            k2 = np.where(g2[some] >= 0, c2[some], 15)
-            k1 = np.where(g1[some] == guess[some], c1[some], 14)
-            k0 = hist[some]
-            q2, q1, q0 = p2[some, k2], p1[some, k1], ph[some, k0]
-            s2, s1, s0 = STRETCH[q2 >> 4], STRETCH[q1 >> 4], STRETCH[q0 >> 4]
-            ww = w[some]
-            p = SQUASH[np.clip((ww[:, 0] * s2 + ww[:, 1] * s1 + ww[:, 2] * s0) >> 16, -2047, 2047) + 2047]
-            y = coder.bits(some, p, None if decoding else true[some] == guess[some])
-            error = np.where(y, 4096, 0) - p
-            w[some, 0] = ww[:, 0] + ((s2 * error * 6) >> 10)
-            w[some, 1] = ww[:, 1] + ((s1 * error * 6) >> 10)
-            w[some, 2] = ww[:, 2] + ((s0 * error * 6) >> 10)
-            goal = np.where(y, 65_535, 0)
-            p2[some, k2] = q2 + ((goal - q2) >> 5)
-            p1[some, k1] = q1 + ((goal - q1) >> 5)
-            ph[some, k0] = q0 + ((goal - q0) >> 5)
-            out[some[y]] = guess[some[y]]
+            full = len(some) == n
+            of = (lambda x: x[:n]) if full else (lambda x: x[some])
+            k = row16[:n] if full else row16[some]
+            guessed = of(guess)
+            k2 = k + np.where(of(v2) > 0, of(c2), 15)
+            k1 = k + np.where(of(g1) == guessed, of(c1), 14)
+            k0 = k + of(hist)
+            q2, q1, q0 = p2.take(k2), p1.take(k1), ph.take(k0)
+            s2, s1, s0 = STRETCH.take(q2 >> 4), STRETCH.take(q1 >> 4), STRETCH.take(q0 >> 4)
+            w2, w1, w0 = (of(w) for w in weights)
+            dot = (w2 * s2 + w1 * s1 + w0 * s0) >> 16
+            p = SQUASH.take(dot + 2047, mode="clip")
+            y = coder.bits(slice(0, n) if full else some, p, None if decoding else of(true) == guessed)
+            error = (np.where(y, 4096, 0) - p) * 6
+            at = slice(0, n) if full else some
+            weights[0][at] = w2 + ((s2 * error) >> 10)
+            weights[1][at] = w1 + ((s1 * error) >> 10)
+            weights[2][at] = w0 + ((s0 * error) >> 10)
+            _learn(p2, k2, q2, y)
+            _learn(p1, k1, q1, y)
+            _learn(ph, k0, q0, y)
+            if full:
+                out = np.where(y, guess, -1)
+            else:
+                out[some[y]] = guess[some[y]]
         # order 1, if it says another
         some = np.nonzero((out < 0) & (g1 >= 0) & (g1 != guess))[0]
         if len(some):
-            k = c1[some]
-            q = pb[some, k]
-            y = coder.bits(some, np.clip(q >> 4, 1, 4095), None if decoding else true[some] == g1[some])
-            pb[some, k] = q + ((np.where(y, 65_535, 0) - q) >> 5)
-            out[some[y]] = g1[some[y]]
+            k = row16[some] + c1[some]
+            q = pb.take(k)
+            y = coder.bits(some, np.maximum(q >> 4, 1), None if decoding else true[some] == g1[some])
+            _learn(pb, k, q, y)
+            hit = some[y]
+            out[hit] = g1[hit]
         # order 0: the slots as they were at the last epoch's start
         some = np.nonzero(out < 0)[0]
         if len(some):
-            k = hist[some]
-            q = pc[some, k]
-            slot = None
+            past = hist[some]
+            k = row16[some] + past
+            q = pc.take(k)
+            slot = known = None
             if not decoding:
-                slot = true[some] * 0x9E3779B1 >> 11 & (SLOTS - 1)
-                known = (slot_id[some, slot] == true[some]) & (cumulated[some, slot + 1] > cumulated[some, slot])
-            open_ = cumulated[some, SLOTS] > 0
-            y = coder.bits(some, np.where(open_, np.clip(q >> 4, 1, 4095), 1), None if decoding else known)
-            pc[some, k] = q + ((np.where(y, 65_535, 0) - q) >> 5)
+                want = true[some]
+                slot = want * 0x9E3779B1 >> 11 & (SLOTS - 1)
+                c = rowc[some] + slot
+                known = (slots.take(row0[some] + slot) >> 6 == want + 1) & (flat.take(c + 1) > flat.take(c))
+            open_ = flat.take(rowc[some] + SLOTS) > 0
+            y = coder.bits(some, np.where(open_, np.maximum(q >> 4, 1), 1), known)
+            _learn(pc, k, q, y)
             hit, miss = some[y], some[~y]
             if len(hit):
                 slot_of = coder.ranged(hit, cumulated, None if decoding else slot[y])
-                out[hit] = slot_id[hit, slot_of]
+                out[hit] = (slots.take(row0[hit] + slot_of) >> 6) - 1
             if len(miss):
                 out[miss] = coder.even(miss, vocabulary, None if decoding else true[miss])
-            history[some] = (hist[some] << 1 | y) & 7
+            history[some] = (past << 1 | y) & 7
         # what was seen
         slot = out * 0x9E3779B1 >> 11 & (SLOTS - 1)
-        mine = slot_id[at, slot] == out
+        at0, c = row0[:n] + slot, rowc[:n] + slot
+        v0 = slots.take(at0)
+        mine = v0 >> 6 == out + 1
         # a slot that order 0 can name in this epoch keeps its id until the epoch ends
-        free = mine | (cumulated[at, slot + 1] == cumulated[at, slot])
-        slot_n[at, slot] = np.where(mine, np.minimum(slot_n[at, slot] + 2, 60), np.where(free, 0, slot_n[at, slot]))
-        slot_id[at, slot] = np.where(free, out, slot_id[at, slot])
-        for nxt, sure, h, g, c in ((next1, sure1, h1, g1, c1), (next2, sure2, h2, g2, c2)):
-            ok = g == out
-            sure[at, h] = np.where(ok, np.minimum(c + 1, 12), c >> 1)
-            nxt[at, h] = np.where(ok | (c < 2), out, g)
+        free = flat.take(c + 1) == flat.take(c)
+        slots[at0] = np.where(mine, np.where((v0 & 63) < 59, v0 + 2, v0), np.where(free, (out + 1) << 6, v0))
+        for table, at, v, g, c in ((next1, at1, v1, g1, c1), (next2, at2, v2, g2, c2)):
+            table[at] = np.where(g == out, v + (c < 12), np.where(c < 2, (out + 1) << 4, v - c) + (c >> 1))
         before2[:n], before1[:n] = before1[:n], out
         if decoding:
-            ids[:n, t] = out
+            columns[t, :n] = out
+    if decoding:
+        ids[:] = columns.T
     return ids
 
 
