@@ -288,27 +288,54 @@ def encoded_words(docs: DataFrame, m: Model, held=None, fold: str = "arrow") ->
     return common.kept(common.arrow_map(cuts, run, "word string, c long, ids array<int>"), "words")
 
 
+def packed_words(words: DataFrame, vocabulary: int) -> DataFrame:
+    """words: word, ids.  Batches of words as three strings of bytes: 64-bit hashes, numbers of ids, ids."""
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in b.column(0).cast(pa.binary()).to_pylist()), "<u8", b.num_rows)
+                n, ids = np.diff(b.column(1).offsets.to_numpy()).astype("<u4"), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, n, ids)], ["h", "n", "ids"])
+
+    return words.select("word", "ids").mapInArrow(run, "h binary, n binary, ids binary")
+
+
 class Dictionary:
     """Words by sorted hashes, with their ids one after the other."""
 
-    def __init__(self, words: pa.ChunkedArray, ids: pa.ChunkedArray):
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for chunk in words.chunks for w in chunk.cast(pa.binary()).to_pylist()), np.uint64, len(words))
-        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in ids.chunks] or [np.empty(0, np.int32)]
-        size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in ids.chunks] or [np.empty(0, np.int32)])
-        flat, start = np.concatenate(flat).astype(np.int32), np.concatenate([[0], np.cumsum(size)])
+    def __init__(self, packed: list, vocabulary: int):
+        """packed: rows of packed_words, taken out one by one."""
+        kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+        h = np.frombuffer(b"".join(r.h for r in packed), "<u8")
+        size = np.frombuffer(b"".join(r.n for r in packed), "<u4")
+        flat = np.frombuffer(b"".join(r.ids for r in packed), kind)
+        packed.clear()
+        start = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[:-1]
         order = np.argsort(h)
-        self.hash, size = h[order], size[order]
-        self.start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        # the ids of each word moved to its place in the order of the hashes
-        self.flat = flat[np.repeat(start[:-1][order] - self.start[:-1], size) + np.arange(len(flat))] if len(flat) else flat
+        self.hash, size, start = h[order], size[order], start[order]
+        self.start = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.uint32 if len(flat) < 1 << 32 else np.int64)
+        # the ids of each word moved to its place in the order of the hashes, a stretch of words at a time
+        self.flat = np.empty_like(flat)
+        for lo in range(0, len(size), 1 << 18):
+            hi = min(len(size), lo + (1 << 18))
+            n = size[lo:hi].astype(np.int64)
+            place = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            self.flat[int(self.start[lo]) : int(self.start[hi])] = flat[place]
 
     def find(self, words: list[str]) -> dict[str, bytes | None]:
-        """The ids of each word as bytes; None for one that isn't here."""
+        """The ids of each word as 32-bit integers in bytes; None for one that isn't here."""
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
-        ok = self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
-        raw, a, b = self.flat, self.start[at].tolist(), (self.start[at + 1] if len(self.hash) else self.start[at]).tolist()
-        return {w: raw[i:j].tobytes() if k else None for w, k, i, j in zip(words, ok.tolist(), a, b)}
+        if not len(self.hash):
+            return dict.fromkeys(words)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        ok = (self.hash[at] == h).tolist()
+        a = self.start[at].astype(np.int64)
+        n = self.start[at + 1].astype(np.int64) - a
+        ends = np.cumsum(n)
+        raw = self.flat[np.repeat(a - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype(np.int32).tobytes()
+        return {w: raw[4 * (j - k) : 4 * j] if yes else None for w, yes, j, k in zip(words, ok, ends.tolist(), n.tolist())}
 
 
 def least_count(words: DataFrame) -> tuple[int, bool]:
@@ -336,9 +363,8 @@ def encode(docs: DataFrame, m: Model) -> DataFrame:
     held = spark.sparkContext.broadcast(m)
     words = encoded_words(docs, m, held)
     least, every = least_count(words)
-    got = words.where(F.col("c") >= least).select("word", "ids").toArrow()
-    known = spark.sparkContext.broadcast(Dictionary(got.column("word"), got.column("ids")))
-    del got
+    vocabulary = 1 + max([*m.ids.values(), *m.byte_ids.values(), m.unknown])
+    known = spark.sparkContext.broadcast(Dictionary(packed_words(words.where(F.col("c") >= least), vocabulary).collect(), vocabulary))
 
     def look(texts: list[bytes | None], more: list[list] | None = None) -> tuple[list, list]:
         """Ids of each text, or None and its unknown words.  more: of each text, (word, ids) known besides."""
