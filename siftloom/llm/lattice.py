@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ from . import common
 SPACE = "▁"
 MOST_WORDS, MOST_IDS = 6_000_000, 40_000_000
 FLUSH, SLICE = 200_000, 2 << 20
+#: Words whose substrings are exploded together, each distinct one once.
+CHUNK = 4000
+#: Of the polynomial hash: an odd number and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
 #: Words of more characters take the array form of the merge fold; up to here cuts are bits of a long.
 BITS = 62
 
@@ -64,6 +70,9 @@ class Model:
         self.pieces, self.byte_ids, self.unigram, self.unknown = pieces, byte_ids, unigram, unknown
         self.longest = max((len(p) for p, _, _ in pieces), default=1)
         self.ids = {p: i for p, _, i in pieces}
+        ranks = {s: r for r, s in enumerate(sorted({s for _, s, _ in pieces}, reverse=True))}
+        #: Rank by falling score and length of each piece, as merged_cuts orders edges.
+        self.order = np.array([ranks[s] << 32 | len(p) for p, s, _ in pieces], dtype=np.int64)
         chars = "".join(sorted({c for p in self.ids for c in p} - {SPACE}))
         inside = "[" + re.escape(chars) + "]" if chars else "(?!)"
         self.cut = re.compile(f"{SPACE}*{inside}+|{SPACE}+|.", re.S)
@@ -171,37 +180,66 @@ def viterbi_fold(edges: DataFrame, unknown_score: float) -> DataFrame:
     return e.withColumn("best", F.expr(forward)).select("word", "c", F.expr(back).alias("cuts"))
 
 
+def substring_hashes(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all substrings of 2 to longest characters: a 64-bit polynomial hash (with the length), and word number * 2**24 + start."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(n) - n
+    place = np.arange(len(flat)) - np.repeat(first, n)
+    code = np.repeat(np.arange(len(words)), n) << 24 | place
+    left = np.repeat(n, n) - place
+    flat = (flat + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    flat ^= flat >> np.uint64(29)
+    one = np.ones(1, np.uint64)
+    power = np.multiply.accumulate(np.concatenate([one, np.full(len(flat), BASE, np.uint64)]))
+    back = np.multiply.accumulate(np.concatenate([one, np.full(len(flat), BACK, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * power[:-1], dtype=np.uint64)])
+    hashes, codes = [], []
+    for k in range(2, longest + 1):
+        at = np.nonzero(left >= k)[0]
+        if not len(at):
+            break
+        h = (sums[at + k] - sums[at]) * back[at]
+        hashes.append((h ^ h >> np.uint64(31)) * np.uint64(2 * k + 1))
+        codes.append(code[at])
+    if not hashes:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(hashes).view(np.int64), np.concatenate(codes)
+
+
 def edge_rows(words: DataFrame, m: Model, held) -> DataFrame:
-    """words: word, c.  id, c, s, l, word, o: for each word one row with s = -1 and the word, then its edges (o as in lattice), in a row within a partition."""
+    """words: word, c.  words, counts, piece, at: for each CHUNK of words one row with them, then a row for each distinct substring of theirs that joins a piece (its number in m.pieces).
+
+    Substrings and pieces are joined on their hashes; arrow_fold compares the
+    characters.  at: where a substring is, as the word's number in the chunk *
+    2**24 + start.  The rows of a chunk stay in a row within a partition, as the
+    join is a broadcast.
+    """
     spark = words.sparkSession
-    ranks = {s: r for r, s in enumerate(sorted({s for _, s, _ in m.pieces}, reverse=True))}
-    table = spark.createDataFrame([(p, ranks[s]) for p, s, _ in m.pieces], "piece string, rank int")
+    long = [(i, p) for i, (p, _, _) in enumerate(m.pieces) if len(p) > 1]
+    h, code = substring_hashes([p for _, p in long], m.longest)
+    whole = {k: x for x, k, n in zip(h.tolist(), (code >> 24).tolist(), (code & 0xFFFFFF).tolist()) if not n}  # the longest comes last
+    table = spark.createDataFrame([(whole[k], i) for k, (i, _) in enumerate(long)], "h long, piece int")
     longest = m.longest
+    schema = pa.schema([("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("h", pa.int64()), ("at", pa.list_(pa.int64()))])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids, c, s, n, piece = [], [], [], [], []
-                for w, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    cuts = [(i, x) for i in range(len(w) - 1) for x in range(2, min(longest, len(w) - i) + 1)]
-                    ids += [at] * (len(cuts) + 1)
-                    c.append(k)
-                    c += [0] * len(cuts)
-                    s.append(-1)
-                    s += [i for i, _ in cuts]
-                    n.append(0)
-                    n += [x for _, x in cuts]
-                    piece.append(w)
-                    piece += [w[i : i + x] for i, x in cuts]
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(piece, pa.string())], ["id", "c", "s", "l", "piece"])
-
-    sub = words.select("word", "c").mapInArrow(explode, "id long, c long, s int, l int, piece string")
-    j = sub.join(F.broadcast(table), "piece", "left").where("s < 0 or rank is not null")
-    order = F.when(F.col("s") < 0, F.lit(-1)).otherwise(F.expr("cast(rank as long) << 32 | cast(s as long) << 8 | l"))
-    return j.select("id", "c", F.when(F.col("s") < 0, F.col("piece")).alias("word"), order.alias("o"))
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                names = part.column(0).to_pylist()
+                yield pa.RecordBatch.from_pydict({"words": [names], "counts": [part.column(1).to_pylist()], "h": [None], "at": [None]}, schema=schema)
+                h, code = substring_hashes(names, longest)
+                order = np.argsort(h, kind="stable")
+                h, code = h[order], code[order]
+                first = np.concatenate([[0], np.nonzero(np.diff(h))[0] + 1]) if len(h) else np.empty(0, np.int64)
+                at = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(h)]]).astype(np.int32)), pa.array(code))
+                none = [pa.nulls(len(first), schema.field(i).type) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(h[first]), at], schema=schema)
+
+    sub = words.select("word", "c").mapInArrow(explode, "words array<string>, counts array<long>, h long, at array<long>")
+    j = sub.join(F.broadcast(table), "h", "left").where("words is not null or piece is not null")
+    return j.select("words", "counts", "piece", "at")
 
 
 def merged_cuts(n: np.ndarray, word: np.ndarray, order: np.ndarray) -> list[list[int]]:
@@ -240,31 +278,34 @@ def arrow_fold(rows: DataFrame, held) -> DataFrame:
     """rows: of edge_rows.  word, c, ids."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(table: pa.Table) -> pa.RecordBatch:
-            order = table.column("o").to_numpy()
-            heads = np.nonzero(order == -1)[0]
-            words = table.column("word").take(pa.array(heads)).to_pylist()
-            owner = np.cumsum(order == -1) - 1
-            edge = order != -1
-            cuts = merged_cuts(np.fromiter(map(len, words), np.int64, len(words)), owner[edge], order[edge])
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            words, counts = t.column("words")[0].as_py(), t.column("counts")[0].as_py()
+            edges = t.slice(1).combine_chunks()
+            at = edges.column("at").combine_chunks()
+            n = pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            code, piece = at.flatten().to_numpy(), np.repeat(edges.column("piece").to_numpy().astype(np.int64), n)
+            known = held.value.pieces
+            same = [words[k].startswith(known[p][0], i) for k, i, p in zip((code >> 24).tolist(), (code & 0xFFFFFF).tolist(), piece.tolist())]
+            code, piece = code[same], piece[same]
+            owner, order = code >> 24, held.value.order[piece] | (code & 0xFFFFFF) << 8
+            by_word = np.argsort(owner, kind="stable")
+            cuts = merged_cuts(np.fromiter(map(len, words), np.int64, len(words)), owner[by_word], order[by_word])
             part_ids = held.value.part_ids
             ids = [[i for a, b in zip(cut, cut[1:]) for i in part_ids(w[a:b])] for w, cut in zip(words, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), table.column("c").take(pa.array(heads)).combine_chunks(), pa.array(ids, pa.list_(pa.int32()))], ["word", "c", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["word", "c", "ids"])
 
         waiting: list[pa.RecordBatch] = []
-        size = 0
         for b in batches:
-            waiting.append(b)
-            size += b.num_rows
-            if size > 200_000:
-                t = pa.Table.from_batches(waiting)
-                last = int(np.nonzero(t.column("o").to_numpy() == -1)[0][-1])  # the last word may go on in the next batch
-                if last:
-                    yield done(t.slice(0, last))
-                waiting = t.slice(last).combine_chunks().to_batches()
-                size = t.num_rows - last
-        if size:
-            yield done(pa.Table.from_batches(waiting))
+            heads = np.nonzero(b.column(0).is_valid().to_numpy(zero_copy_only=False))[0].tolist()
+            for lo, hi in zip([0, *heads], [*heads, b.num_rows]):
+                if lo in heads and waiting:
+                    yield done(waiting)
+                    waiting = []
+                if hi > lo:
+                    waiting.append(b.slice(lo, hi - lo))
+        if waiting:
+            yield done(waiting)
 
     return rows.mapInArrow(fold, "word string, c long, ids array<int>")
 
@@ -369,7 +410,7 @@ def encode(docs: DataFrame, m: Model) -> DataFrame:
     def look(texts: list[bytes | None], more: list[list] | None = None) -> tuple[list, list]:
         """Ids of each text, or None and its unknown words.  more: of each text, (word, ids) known besides."""
         parts = [held.value.words(t.decode() if t else "") for t in texts]
-        found = known.value.find(sorted({w for p in parts for w in p}))
+        found = known.value.find(list({w for p in parts for w in p}))
         if more is not None:
             for x in more:
                 found |= {y["word"]: np.array(y["ids"], np.int32).tobytes() for y in x or ()}

@@ -27,7 +27,8 @@ def test_like_the_library(spark, monkeypatch, most):
     assert all(r.n_ids == len(r.ids) and r.round_trip == (r.doc_id != 100 + TEXTS.index("a▁b ▁")) for r in got)
 
 
-def test_both_folds_agree(spark):
+def test_both_folds_agree(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "CHUNK", 37)
     m = lattice.model(PATH)
     df = docs(spark, list(enumerate(TEXTS + prose(23, 40))))
     a, b = (sorted(map(tuple, lattice.encoded_words(df, m, fold=f).collect())) for f in ("arrow", "aggregate"))
