@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftloom.llm import common, compression_classifier, lattice, mixing, simhash, substrings
+from siftloom.llm import common, compression_classifier, lattice, mixing, near_copies, substrings
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest doc_id; as in op3, four-word shingles and four bits."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays, the one of the smallest doc_id: Jaccard similarity of five-word shingles of 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("substring dedup", repeated_passages),
     ("mixing sources", mix),
     ("SentencePiece encoding", encode),
