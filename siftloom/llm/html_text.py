@@ -44,6 +44,7 @@ NAMES = frozenset(
 )
 #: Elements of running prose: inside the main text they are never templates.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption figcaption blockquote pre br hr a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SPACE = re.compile(r"\s+")
 HEADINGS = re.compile(r"<h[1-6]\b", re.I)
 
 
@@ -201,10 +202,25 @@ class Page:
                 inside.add(e)
             if e in around or self.tags[e] in ("html", "head", "body") or e in inside and self.tags[e] in PROSE:
                 continue
-            a, b = self.spans[e]
-            if self.last[e] > self.first[e] and b - a < 20_000:
-                found.append((e, xxhash.xxh64_intdigest(" ".join(self.html[a:b].split()), 1) - (1 << 63)))
-        return found
+            if self.last[e] > self.first[e]:
+                found.append(e)
+        hashes = self.hashes() if found else []
+        return [(e, hashes[e]) for e in found]
+
+    def hashes(self) -> list[int]:
+        """Of each element, a hash of its source with runs of white space as one space and its children as their hashes: linear in the page, however long or deep an element is."""
+        children: list[list[int]] = [[] for _ in self.tags]
+        for e in range(1, len(self.tags)):
+            children[self.parent[e]].append(e)
+        got = [0] * len(self.tags)
+        for e in range(len(self.tags) - 1, 0, -1):
+            at, parts = self.spans[e][0], []
+            for c in children[e]:
+                parts += [SPACE.sub(" ", self.html[at : self.spans[c][0]]), f"\0{got[c]:x}\0"]
+                at = self.spans[c][1]
+            parts.append(SPACE.sub(" ", self.html[at : self.spans[e][1]]).rstrip())
+            got[e] = xxhash.xxh64_intdigest("".join(parts), 1) - (1 << 63)
+        return got
 
 
 def host_of(url: str | None) -> str:

@@ -72,3 +72,11 @@ def test_copies_of_a_page_are_no_template(spark):
 
 def test_empty_table(spark):
     assert html_text.main_text(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_long_templates_go(spark):
+    """A block of more than 20,000 characters in the article, with direct text, on each page of a host."""
+    block = "<div>Read also" + "".join(f"<p>teaser {i} of the whole site and its archive</p> <a href='/{i}'>more</a>" for i in range(600)) + "</div>"
+    rows = [(i, "http://l.example/x", f"<body><article><p>own {i}</p>{block}</article></body>", 1, None) for i in range(6)]
+    assert len(block) > 20_000
+    assert {r.text for r in html_text.main_text(spark.createDataFrame(rows, PAGE)).collect()} == {f"own {i}" for i in range(6)}
