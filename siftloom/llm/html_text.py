@@ -252,20 +252,41 @@ def template_counts(pages: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
 
 
-def templates(pages: DataFrame, least_pages: int = 4, share: float = 0.01) -> DataFrame:
-    """host, templates: hashes of subtrees on least_pages pages of a host or more and on this share of its pages."""
-    n = common.kept(template_counts(pages), "subtrees")
-    hosts = n.where("subtree is null").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"))
-    often = n.where((F.col("subtree").isNotNull()) & (F.col("pages") >= least_pages)).join(hosts, F.col("host") == F.col("h"))
-    often = often.where(F.col("pages") >= share * F.col("all_pages"))
-    return common.kept(often.groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("templates")), "templates")
+def templates(pages: DataFrame, least_pages: int = 4) -> DataFrame:
+    """host, subtree: hashes of subtrees on least_pages different pages of a host or more, however many pages the host has."""
+    n = template_counts(pages).where(F.col("subtree").isNotNull() & (F.col("pages") >= least_pages))
+    return common.kept(n.select("host", "subtree"), "templates")
 
 
-#: Hashes of all hosts that are broadcast at most (8 bytes each); with more, pages and templates are joined by shuffle on the host.
+#: Hashes of all hosts that are broadcast at most (8 bytes each); with more, the subtrees of pages are joined to templates by shuffle.
 MOST_HASHES = 1_000_000
 
 
-def main_text(pages: DataFrame, least_pages: int = 4, share: float = 0.01) -> DataFrame:
+def templates_of_pages(pages: DataFrame, t: DataFrame) -> DataFrame:
+    """page_id, url, html, templates: those of the host that are on the page, so a row grows with its page and not with its host."""
+
+    def place(url, h):
+        d = xxhash.xxh3_128_digest(h or b"")
+        return host_of(_text(url)), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+    def subtrees(c):
+        seen = set()
+        for url, h in zip(c["url"], c["html"]):
+            page, at = Page(_text(h)), place(url, h)
+            seen.update((*at, s) for _, s in page.subtrees(page.dropped()))
+        return dict(zip(("host", "k1", "k2", "subtree"), zip(*seen))) if seen else {"host": [], "k1": [], "k2": [], "subtree": []}
+
+    def keyed(c):
+        at = [place(u, h) for u, h in zip(c["url"], c["html"])]
+        return c | {"host": [x[0] for x in at], "k1": [x[1] for x in at], "k2": [x[2] for x in at]}
+
+    found = common.arrow_map(pages.select("url", "html"), subtrees, "host string, k1 long, k2 long, subtree long").distinct()
+    found = found.join(t, ["host", "subtree"]).groupBy(F.col("host").alias("of_host"), F.col("k1").alias("of_k1"), F.col("k2").alias("of_k2")).agg(F.collect_list("subtree").alias("templates"))
+    rows = common.arrow_map(pages.select("page_id", "url", "html"), keyed, "page_id long, url string, html string, host string, k1 long, k2 long")
+    return rows.join(found, (F.col("host") == F.col("of_host")) & (F.col("k1") == F.col("of_k1")) & (F.col("k2") == F.col("of_k2")), "left").select("page_id", "url", "html", "templates")
+
+
+def main_text(pages: DataFrame, least_pages: int = 4) -> DataFrame:
     """pages: page_id, url, html; other columns are ignored.
 
     One row for each row of pages: page_id, url, text, n_chars.  A null or empty
@@ -273,15 +294,16 @@ def main_text(pages: DataFrame, least_pages: int = 4, share: float = 0.01) -> Da
     rows give equal results; broken markup is read as far as it goes; an empty
     table gives no rows.
     """
-    t = templates(pages, least_pages, share)
-    hashes = t.agg(F.sum(F.size("templates"))).first()[0] or 0
-    if hashes <= MOST_HASHES:
-        held = pages.sparkSession.sparkContext.broadcast({r[0]: frozenset(r[1]) for r in t.collect()})
+    t = templates(pages, least_pages)
+    if t.count() <= MOST_HASHES:
+        known: dict[str, set] = {}
+        for host, subtree in t.collect():
+            known.setdefault(host, set()).add(subtree)
+        held = pages.sparkSession.sparkContext.broadcast({k: frozenset(v) for k, v in known.items()})
         j = pages.select("page_id", "url", "html")
     else:
         held = None
-        hosted = common.arrow_map(pages.select("page_id", "url", "html"), lambda c: c | {"host": [host_of(_text(u)) for u in c["url"]]}, "page_id long, url string, html string, host string")
-        j = hosted.join(t.withColumnRenamed("host", "t_host"), F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "templates")
+        j = templates_of_pages(pages, t)
 
     def run(c):
         texts = []

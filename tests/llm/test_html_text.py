@@ -80,3 +80,13 @@ def test_long_templates_go(spark):
     rows = [(i, "http://l.example/x", f"<body><article><p>own {i}</p>{block}</article></body>", 1, None) for i in range(6)]
     assert len(block) > 20_000
     assert {r.text for r in html_text.main_text(spark.createDataFrame(rows, PAGE)).collect()} == {f"own {i}" for i in range(6)}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_verdict_does_not_change_with_the_host(spark, monkeypatch, most):
+    """A box on five different pages goes, whether its host has 5 or 605."""
+    monkeypatch.setattr(html_text, "MOST_HASHES", most)
+    page = lambda i, box: (i, f"http://{'small' if i < 5 else 'large'}.example/{i}", f"<article><p>own {i}</p>{box}</article>", 1, None)
+    rows = [page(i, "<div>Of one section</div>") for i in range(10)] + [page(i, "") for i in range(10, 610)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {i: f"own {i}" for i in range(610)}
