@@ -350,6 +350,18 @@ def part_review_pairs(spark, sf_dir):
     return a.where(F.length(F.split_part("b_name", F.lit(" "), F.lit(2))) == 1).select("a_id", "b_id")
 
 
+@registered("WITH p AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT x.id AS a_id, y.id AS b_id FROM p x JOIN p y ON x.a = y.a AND x.id < y.id AND left(x.b, 1) = y.b AND x.b <> y.b")
+def part_review_pairs_whole(spark, sf_dir):
+    """part_review_pairs over all parts: distinct names meet, then the parts that bear them."""
+    two = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), two.alias("name"))
+    n = matching.person_pairs(p.groupBy("name").agg(F.min("id").alias("id")), text.ascii_key)
+    n = n.select("a_name", "b_name").unionByName(n.select(F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name")))
+    n = n.where(F.length(F.split_part("b_name", F.lit(" "), F.lit(2))) == 1)
+    a, b = p.select(F.col("id").alias("a_id"), F.col("name").alias("a_name")), p.select(F.col("id").alias("b_id"), F.col("name").alias("b_name"))
+    return n.join(a, "a_name").join(b, "b_name").where("a_id < b_id").select("a_id", "b_id")
+
+
 @registered("SELECT * FROM (VALUES (1, 2)) t(a_id, b_id)")
 def organisation_review_pairs(spark, sf_dir):
     rows = [(1, "Center for Policy Research"), (2, "Centre for Policy Research (CPR)"), (3, "CPR"), (4, "Centre for policy research."), (5, "School of Policy")]
@@ -474,6 +486,15 @@ def monthly_counts(spark, sf_dir):
     return months.join(n, F.col("m") == F.col("k"), "left").select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@registered("WITH c AS (SELECT unnest(generate_series(date_trunc('month', (SELECT min(o_orderdate) FROM orders)), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 MONTH)) AS m) SELECT strftime(m, '%Y-%m') AS month, count(o_orderkey) AS n FROM c LEFT JOIN orders ON date_trunc('month', o_orderdate) = m GROUP BY m")
+def monthly_counts_whole(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    span = o.agg(F.min(F.trunc("o_orderdate", "month")).alias("a"), F.max(F.trunc("o_orderdate", "month")).alias("b"))
+    months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
+    n = o.groupBy(F.trunc("o_orderdate", "month").alias("k")).agg(F.count("*").alias("n"))
+    return months.join(n, F.col("m") == F.col("k"), "left").select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @registered("SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'click' ORDER BY ts DESC, event_id DESC LIMIT 20")
 def last_runs(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type <> 'click'").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", "event_type")
@@ -528,6 +549,12 @@ def relabelled_times(spark, sf_dir):
     return e.select("event_id", times.relabelled(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "+05:30").alias("utc"))
 
 
+@registered("SELECT event_id, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events")
+def relabelled_times_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", times.relabelled(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "+05:30").alias("utc"))
+
+
 @registered("SELECT * FROM (VALUES (1, 'On a long title'), (2, 'Two lines'), (3, NULL)) t(id, title)")
 def joined_titles(spark, sf_dir):
     return spark.createDataFrame([(1, ["On a long ti\\", "tle"]), (2, ["Two", "lines"]), (3, [])], "id int, lines array<string>").select("id", text.joined_lines(F.col("lines")).alias("title"))
