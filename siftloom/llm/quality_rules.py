@@ -5,7 +5,9 @@ Each document is measured once.  KLL sketches of five measures are built per
 per language and over all rows, and read as quartiles.  A measure beyond
 ``median + spread * (q3 - q1) + slack`` of its group rejects the document.  A
 group of fewer than ``least_rows`` documents uses its language's merged sketch,
-and a language of fewer the merged sketch over all rows.
+and a language of fewer the merged sketch over all rows.  A group's own fence is
+never looser than its language's, nor, for measures that do not hang on the
+language, a fence looser than that over all rows: no group lifts its own.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 #: Measures with the slack that is added to a fence: the least distance from the median that counts.
 MEASURES = {"symbol_ratio": 0.15, "dup_line_ratio": 0.4, "exclaim_ratio": 0.25, "upper_ratio": 0.25, "word_length": 3.0}
+#: Measures for which all languages are alike.
+ANY_LANGUAGE = ("symbol_ratio", "dup_line_ratio", "exclaim_ratio")
 SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{m} double" for m in MEASURES)
 
 
@@ -80,8 +84,15 @@ def thresholds(rows: DataFrame, spread: float = 6.0, least_rows: int = 200) -> D
     b = b.withColumnRenamed("lang", "its_lang")
     # over_all is a single row, so this is a broadcast of one row and not a product of two tables
     j = a.join(b, F.col("lang").eqNullSafe(F.col("its_lang"))).join(F.broadcast(c), F.lit(True))
-    pick = lambda n: F.when(F.col("rows_own") >= least_rows, F.col(f"{n}_own")).when(F.col("rows_lang") >= least_rows, F.col(f"{n}_lang")).otherwise(F.col(f"{n}_all"))
-    return j.select("lang", "source", *(pick(f"{m}_{s}").alias(f"{m}_{s}") for m in MEASURES for s in ("low", "high")))
+
+    def pick(m: str, side: str):
+        own, lang, every = (F.col(f"{m}_{side}_{tag}") for tag in ("own", "lang", "all"))
+        tight = F.least if side == "high" else F.greatest
+        large = F.col("rows_lang") >= least_rows
+        got = F.when(F.col("rows_own") >= least_rows, tight(own, lang)).when(large, lang).otherwise(every)
+        return tight(got, every) if m in ANY_LANGUAGE else got
+
+    return j.select("lang", "source", *(pick(m, s).alias(f"{m}_{s}") for m in MEASURES for s in ("low", "high")))
 
 
 def quality_rules(docs: DataFrame, spread: float = 6.0, least_rows: int = 200) -> DataFrame:
