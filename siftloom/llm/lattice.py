@@ -7,45 +7,59 @@ characters that no piece has.  Each distinct part (a word) is encoded once:
 2. equi-joined to the piece table, which is broadcast (its size is that of the
    model, whatever the input),
 3. the matches, edges of the word's lattice, are grouped by word, and
-4. folded: for a unigram model with Spark's higher-order ``aggregate`` by Viterbi
+4. folded with Spark's higher-order ``aggregate``: for a unigram model by Viterbi
    (best score of a path to each position, then back), for a BPE model by its
    merges (again and again the best edge that spans two parts), since the best
    path over a BPE model's scores is not that model's encoding.
 
-The merges are there in two forms with equal results: with ``aggregate`` (fold =
-"aggregate"), and over the joined edges in Arrow batches, all words of a batch at
-a time (fold = "arrow", the default: see README for the figures of both).
+The merge fold holds a word's cuts as the bits of a long.  Words of more than
+BITS characters (long runs without a space) don't fit; their edges are joined on
+hashes of the substrings and folded in Arrow batches with a heap.
 
-Texts then look their words up.  The table of words is broadcast as sorted
-hashes as long as it has no more than MOST_WORDS words and MOST_IDS ids; of a
-larger one the most frequent words are, and texts with other words get those by
-a shuffle join.
+Texts then look their words up in files of the shared folder, sorted by hash and
+mapped into memory, so all workers of a machine share one copy.  They hold all
+words as long as these are no more than MOST_WORDS with MOST_IDS ids; of more
+they hold the most frequent, and texts with other words get those by a shuffle
+join.
 """
 
 from __future__ import annotations
 
+import heapq
+import posixpath
 import re
-from collections.abc import Iterator
+import struct
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from siftloom.functions.binding import let
+
 from . import common
 
 SPACE = "▁"
 MOST_WORDS, MOST_IDS = 6_000_000, 40_000_000
-FLUSH, SLICE = 200_000, 2 << 20
-#: Words whose substrings are exploded together, each distinct one once.
+FLUSH, SLICE = 400_000, 4 << 20
+#: Long words whose substrings are exploded together, each distinct one once.
 CHUNK = 4000
 #: Of the polynomial hash: an odd number and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
-#: Words of more characters take the array form of the merge fold; up to here cuts are bits of a long.
+#: Characters of the longest word whose cuts are bits of a long.
 BITS = 62
+#: Files of the dictionary are known by so many first bits of their words' hashes. Seeds of the two hashes of a word.
+FILE_BITS, SEEDS = 6, (42, 43)
+#: A part of a text with all spaces before it.
+PART = re.compile(" *[^ ]+| +")
 
 _models: dict[str, "Model"] = {}
 
@@ -77,6 +91,8 @@ class Model:
         inside = "[" + re.escape(chars) + "]" if chars else "(?!)"
         self.cut = re.compile(f"{SPACE}*{inside}+|{SPACE}+|.", re.S)
         self.text = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
+        self.size = 1 + max([*self.text, unknown])
+        self.texts = [self.text.get(i, b"") for i in range(self.size)]
 
     @classmethod
     def of_pieces(cls, pieces: list[tuple[str, float, int]], byte_ids: dict[int, int], unigram: bool, unknown: int = 0) -> "Model":
@@ -88,6 +104,18 @@ class Model:
         """The parts of a text that are encoded by themselves."""
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    @staticmethod
+    def parts(text: str | None) -> list[str]:
+        """A text cut before each run of spaces, without the first space of each part (the text's own first part has one put before it)."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " ":
+            return [p[1:] for p in PART.findall(" " + text)]
+        return text.split(" ")
+
+    def words_of(self, part: str) -> list[str]:
+        return self.cut.findall(SPACE + part.replace(" ", SPACE))
+
     def part_ids(self, part: str) -> list[int]:
         """Ids of an undivided part: its piece's, else its bytes', else unknown."""
         if part in self.ids:
@@ -97,7 +125,8 @@ class Model:
         return [self.byte_ids[b] for b in part.encode()]
 
     def decode(self, ids) -> str:
-        text = b"".join([self.text.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        texts, size = self.texts, self.size
+        text = b"".join([texts[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -112,20 +141,22 @@ def distinct_words(docs: DataFrame, m) -> DataFrame:
     """docs: text.  word and c (its count over all texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
-        words_of = m.value.words
+        parts: Counter[str] = Counter()
+        model = m.value
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-            counts.clear()
-            return out
+            counts: dict[str, int] = {}
+            for p, n in parts.items():
+                for w in model.words_of(p):
+                    counts[w] = counts.get(w, 0) + n
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
 
         for b in batches:
             for part in common.cut(b, SLICE):
                 for text in part.column(0).to_pylist():
-                    for w in words_of(text or ""):
-                        counts[w] = counts.get(w, 0) + 1
-                if len(counts) > FLUSH:
+                    parts.update(model.parts(text))
+                if len(parts) > FLUSH:
                     yield batch()
         yield batch()
 
@@ -133,41 +164,41 @@ def distinct_words(docs: DataFrame, m) -> DataFrame:
 
 
 def lattice(words: DataFrame, m: Model) -> DataFrame:
-    """words: word, c.  Adds edges, an array of (o, s, l): order, start, length, of all its substrings that are pieces of two characters or more.
+    """words: word, c.  word, c, edges: all its substrings that are pieces, for a BPE model of two characters or more.
 
-    o is the rank by falling score and then the place, so the least o is the
-    leftmost of the best.  For a unigram model single characters are edges too,
-    and edges have their score.
+    An edge of a BPE model is a long: rank by falling score << 32 | start << 8 |
+    length, so the least is the leftmost of the best.  One of a unigram model is
+    (s, l, score).  Each word has the empty substring too, which joins an edge
+    of null, so that words without edges keep their row.  Words are partitioned
+    by themselves already, so the group needs no shuffle.
     """
     spark = words.sparkSession
     ranks = {s: r for r, s in enumerate(sorted({s for _, s, _ in m.pieces}, reverse=True))}
-    table = spark.createDataFrame([(p, ranks[s], s) for p, s, _ in m.pieces], "piece string, rank int, score double")
     least = 1 if m.unigram else 2
-    cut = f"""explode_outer(flatten(transform(sequence(0, char_length(word) - 1), i ->
-        transform(sequence({least}, greatest({least}, least({m.longest}, char_length(word) - i))), n -> named_struct('s', i, 'l', n, 'piece', substr(word, i + 1, n))))))"""
-    sub = words.select("word", "c", F.expr(cut).alias("x")).select("word", "c", "x.s", "x.l", "x.piece")
-    order = F.expr("cast(rank as long) << 32 | cast(s as long) << 8 | l")
-    edge = F.struct(order.alias("o"), *([F.col("s"), F.col("l"), F.col("score")] if m.unigram else [F.expr("((1L << (l - 1)) - 1) << (s + 1)").alias("inner"), F.expr("1L << s | 1L << (s + l)").alias("ends")]))
-    j = sub.join(F.broadcast(table), "piece", "left").withColumn("edge", F.when(F.col("rank").isNotNull(), edge))
-    return j.groupBy("word").agg(F.max("c").alias("c"), F.collect_list("edge").alias("edges"))
+    table = spark.createDataFrame([("", None, None), *((p, ranks[s] << 32 | len(p), s) for p, s, _ in m.pieces if len(p) >= least)], "piece string, o long, score double")
+    starts = words.withColumn("n", F.char_length("word")).select("word", "c", "n", F.explode(F.expr(f"sequence(-1, greatest(-1, n - {least}))")).alias("s"))
+    lengths = F.expr(f"sequence(if(s < 0, 0, {least}), if(s < 0, 0, least({m.longest}, n - s)))")
+    sub = starts.select("word", "c", "s", F.explode(lengths).alias("l")).select("word", "c", "s", "l", F.expr("if(s < 0, '', substr(word, s + 1, l))").alias("piece"))
+    if m.unigram:
+        edge = F.when(F.col("o").isNotNull(), F.struct("s", "l", "score"))
+    else:
+        edge = F.expr("o | cast(s as long) << 8")
+    return sub.join(F.broadcast(table), "piece").groupBy("word").agg(F.max("c").alias("c"), F.collect_list(edge).alias("edges"))
 
 
 def merge_fold(edges: DataFrame) -> DataFrame:
-    """word, c, cuts: positions of a BPE model's cuts, 0 and the end included.
+    """word, c, cuts: bit i of the long cuts says that a BPE model cuts a word of at most BITS characters before character i.
 
     The best edge with both ends among the cuts and one cut inside is merged, as
-    often as there are characters; short words keep their cuts as bits of a long.
+    often as there are characters.
     """
-    bits = """aggregate(sequence(2, greatest(2, n)), (1L << (n + 1)) - 1, (b, i) -> coalesce(
-        b & ~array_min(filter(edges, e -> (b & e.ends) = e.ends and bit_count(b & e.inner) = 1)).inner, b))"""
-    array = """aggregate(sequence(2, greatest(2, n)), sequence(0, n), (b, i) -> transform(
-        array(array_min(filter(places, e -> array_contains(b, e.s) and array_contains(b, e.e) and size(filter(b, y -> y > e.s and y < e.e)) = 1))),
-        m -> if(m is null, b, filter(b, x -> x <= m.s or x >= m.e)))[0])"""
-    e = edges.withColumn("n", F.char_length("word"))
-    short = e.where(F.col("n") <= BITS).withColumn("b", F.expr(bits)).withColumn("cuts", F.expr("filter(sequence(0, n), i -> (shiftright(b, i) & 1L) = 1L)"))
-    places = F.expr("transform(edges, e -> named_struct('o', e.o, 's', cast((e.o >> 8) & 16777215L as int), 'l', cast(e.o & 255L as int), 'e', cast(((e.o >> 8) & 16777215L) + (e.o & 255L) as int)))")
-    long = e.where(F.col("n") > BITS).withColumn("places", places).withColumn("cuts", F.expr(array))
-    return short.select("word", "c", "cuts").unionByName(long.select("word", "c", "cuts"))
+    masks = F.expr("""transform(edges, o -> named_struct('o', o,
+        'inner', shiftleft(shiftleft(1L, cast((o & 255L) - 1 as int)) - 1L, cast((o >> 8) & 16777215L as int) + 1),
+        'ends', shiftleft(1L, cast((o >> 8) & 16777215L as int)) | shiftleft(1L, cast(((o >> 8) & 16777215L) + (o & 255L) as int))))""")
+    best = lambda es, b: F.array_min(F.filter(es, lambda e: (b.bitwiseAND(e.ends) == e.ends) & (F.bit_count(b.bitwiseAND(e.inner)) == 1)))
+    step = lambda es: lambda b, _: F.coalesce(b.bitwiseAND(F.bitwise_not(best(es, b)["inner"])), b)
+    cuts = let(masks, lambda es: F.aggregate(F.expr("sequence(2, greatest(2, char_length(word)))"), F.expr("shiftleft(1L, char_length(word) + 1) - 1L"), step(es)))
+    return edges.select("word", "c", F.when(F.size("edges") == 0, F.expr("shiftleft(1L, char_length(word) + 1) - 1L")).otherwise(cuts).alias("cuts"))
 
 
 def viterbi_fold(edges: DataFrame, unknown_score: float) -> DataFrame:
@@ -176,8 +207,8 @@ def viterbi_fold(edges: DataFrame, unknown_score: float) -> DataFrame:
     forward = f"""aggregate(sequence(1, n), array(named_struct('score', 0D, 'back', 0)), (st, e) -> concat(st, array(array_max(concat(
         array(named_struct('score', st[e - 1].score + if(exists(edges, x -> x.l = 1 and x.s = e - 1), -1e300D, {unknown_score}D), 'back', -(e - 1))),
         transform(filter(edges, x -> x.s + x.l = e), x -> named_struct('score', st[x.s].score + x.score, 'back', -x.s)))))))"""
-    back = "aggregate(sequence(1, n), array(n), (p, i) -> if(p[0] > 0, concat(array(-best[p[0]].back), p), p))"
-    return e.withColumn("best", F.expr(forward)).select("word", "c", F.expr(back).alias("cuts"))
+    back = "transform(array(" + forward + "), best -> aggregate(sequence(1, n), array(n), (p, i) -> if(p[0] > 0, concat(array(-best[p[0]].back), p), p)))[0]"
+    return e.select("word", "c", F.expr(back).alias("cuts"))
 
 
 def substring_hashes(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,36 +273,22 @@ def edge_rows(words: DataFrame, m: Model, held) -> DataFrame:
     return j.select("words", "counts", "piece", "at")
 
 
-def merged_cuts(n: np.ndarray, word: np.ndarray, order: np.ndarray) -> list[list[int]]:
-    """Cuts of words of n characters each, by merges; word and order: of each edge, edges of a word in a row."""
-    one = np.uint64(1)
-    s, size = (order >> 8 & 0xFFFFFF).astype(np.uint64), (order & 0xFF).astype(np.uint64)
-    short = n <= BITS
-    bits = np.where(short, (one << np.where(short, n + 1, 1).astype(np.uint64)) - one, np.uint64(0))
-    live = np.nonzero(short[word])[0]
-    with np.errstate(over="ignore"):
-        inner, ends = ((one << (size - one)) - one) << (s + one), one << s | one << (s + size)
-    while len(live):
-        w = word[live]
-        b = bits[w]
-        ok = ((b & ends[live]) == ends[live]) & (np.bitwise_count(b & inner[live]) == 1)
-        first = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1])
-        best = np.minimum.reduceat(np.where(ok, order[live], np.iinfo(np.int64).max), first)
-        went = best < np.iinfo(np.int64).max
-        at, best = w[first][went], best[went]
-        bits[at] &= ~(((one << ((best & 0xFF).astype(np.uint64) - one)) - one) << ((best >> 8 & 0xFFFFFF).astype(np.uint64) + one))
-        again = np.zeros(len(n), bool)
-        again[at] = True
-        live = live[again[w]]
-    out = [[i for i in range(k + 1) if b >> i & 1] for k, b in zip(n.tolist(), bits.tolist())]
-    for w in np.nonzero(~short)[0].tolist():
-        own = order[word == w].tolist()
-        cuts = list(range(int(n[w]) + 1))
-        edges = {(o >> 8 & 0xFFFFFF, (o >> 8 & 0xFFFFFF) + (o & 0xFF)): o for o in own}
-        while pairs := [(edges[a, c], i) for i, (a, c) in enumerate(zip(cuts, cuts[2:])) if (a, c) in edges]:
-            del cuts[min(pairs)[1] + 1]
-        out[w] = cuts
-    return out
+def merged_cuts(n: int, order: list[int]) -> list[int]:
+    """Cuts of a word of n characters by merges, 0 and n included; order: of its edges."""
+    edge = {(o >> 8 & 0xFFFFFF, (o >> 8 & 0xFFFFFF) + (o & 0xFF)): o for o in order}
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    gone = bytearray(n + 1)
+    heap = [(edge[i, i + 2], i, i + 1, i + 2) for i in range(n - 1) if (i, i + 2) in edge]
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, k = heapq.heappop(heap)
+        if gone[i] or gone[j] or gone[k] or after[i] != j or after[j] != k:
+            continue
+        gone[j], after[i], before[k] = 1, k, i
+        for x, y, z in ((before[i], i, k), (i, k, after[k])):
+            if x >= 0 and z <= n and (o := edge.get((x, z))) is not None:
+                heapq.heappush(heap, (o, x, y, z))
+    return [i for i in range(n + 1) if not gone[i]]
 
 
 def arrow_fold(rows: DataFrame, held) -> DataFrame:
@@ -290,7 +307,8 @@ def arrow_fold(rows: DataFrame, held) -> DataFrame:
             code, piece = code[same], piece[same]
             owner, order = code >> 24, held.value.order[piece] | (code & 0xFFFFFF) << 8
             by_word = np.argsort(owner, kind="stable")
-            cuts = merged_cuts(np.fromiter(map(len, words), np.int64, len(words)), owner[by_word], order[by_word])
+            ends = np.searchsorted(owner[by_word], np.arange(1, len(words)))
+            cuts = [merged_cuts(len(w), own.tolist()) for w, own in zip(words, np.split(order[by_word], ends))]
             part_ids = held.value.part_ids
             ids = [[i for a, b in zip(cut, cut[1:]) for i in part_ids(w[a:b])] for w, cut in zip(words, cuts)]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["word", "c", "ids"])
@@ -310,78 +328,123 @@ def arrow_fold(rows: DataFrame, held) -> DataFrame:
     return rows.mapInArrow(fold, "word string, c long, ids array<int>")
 
 
-def encoded_words(docs: DataFrame, m: Model, held=None, fold: str = "arrow") -> DataFrame:
+def encoded_words(docs: DataFrame, m: Model, held=None) -> DataFrame:
     """docs: text.  word, c, ids: the encoding of every distinct word of the texts."""
     held = held or docs.sparkSession.sparkContext.broadcast(m)
     words = distinct_words(docs, held)
-    if fold == "arrow" and not m.unigram:
-        return common.kept(arrow_fold(edge_rows(words, m, held), held), "words")
-    edges = lattice(words, m)
-    cuts = viterbi_fold(edges, min((s for _, s, _ in m.pieces), default=0.0) - 10) if m.unigram else merge_fold(edges)
 
     def run(c):
         ids_of, out = held.value.part_ids, []
         for word, cut in zip(c["word"], c["cuts"]):
             w = word.decode()
-            out.append([i for a, b in zip(cut, cut[1:]) for i in ids_of(w[a:b])])
+            at = cut if m_unigram else [i for i in range(len(w) + 1) if cut >> i & 1]
+            out.append([i for a, b in zip(at, at[1:]) for i in ids_of(w[a:b])])
         return {"word": c["word"], "c": c["c"], "ids": out}
 
-    return common.kept(common.arrow_map(cuts, run, "word string, c long, ids array<int>"), "words")
+    m_unigram, schema = m.unigram, "word string, c long, ids array<int>"
+    if m_unigram:
+        cuts = viterbi_fold(lattice(words, m), min((s for _, s, _ in m.pieces), default=0.0) - 10)
+        return common.kept(common.arrow_map(cuts, run, schema), "words")
+    words = words.withColumn("short", F.char_length("word") <= BITS)
+    short = common.arrow_map(merge_fold(lattice(words.where("short"), m)), run, schema)
+    long = arrow_fold(edge_rows(words.where("not short"), m, held), held)
+    return common.kept(short.unionByName(long), "words")
+
 
+def _digests(words: Iterable[bytes], n: int) -> list[np.ndarray]:
+    words = list(words)
+    return [np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, n) for seed in SEEDS]
 
-def packed_words(words: DataFrame, vocabulary: int) -> DataFrame:
-    """words: word, ids.  Batches of words as three strings of bytes: 64-bit hashes, numbers of ids, ids."""
+
+def write_dictionary(words: DataFrame, folder: str, vocabulary: int) -> None:
+    """words: word, ids.  Files of folder, one for each FILE_BITS first bits of the first hash: number of words, then their hashes in order, second hashes, ends of their ids, ids.
+
+    A file is written under another name and renamed, so a task that is run
+    again leaves whole files.
+    """
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for b in batches:
             if b.num_rows:
-                h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in b.column(0).cast(pa.binary()).to_pylist()), "<u8", b.num_rows)
-                n, ids = np.diff(b.column(1).offsets.to_numpy()).astype("<u4"), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, n, ids)], ["h", "n", "ids"])
-
-    return words.select("word", "ids").mapInArrow(run, "h binary, n binary, ids binary")
+                h, check = _digests(b.column(0).cast(pa.binary()).to_pylist(), b.num_rows)
+                held.append((h, check, pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)))
+        if held:
+            h, check, n, flat = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(h, kind="stable")
+            start = np.cumsum(n) - n
+            where, base = fs.FileSystem.from_uri(folder)
+            where.create_dir(base, recursive=True)
+            files = h[order] >> np.uint64(64 - FILE_BITS)
+            for name in np.unique(files):
+                of = order[files == name]
+                size = n[of]
+                ends = np.cumsum(size)
+                place = np.repeat(start[of] - (ends - size), size) + np.arange(int(ends[-1]))
+                own = posixpath.join(base, f"{name:04d}.{TaskContext.get().taskAttemptId()}.tmp")
+                with where.open_output_stream(own) as out:
+                    out.write(struct.pack("<Q", len(of)))
+                    for x in (h[of].astype("<u8"), check[of].astype("<u8"), ends.astype("<u8"), flat[place]):
+                        out.write(x.tobytes())
+                where.move(own, posixpath.join(base, f"{name:04d}"))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64())})
+
+    by_file = words.select("word", "ids").repartition(1 << FILE_BITS, F.shiftrightunsigned(F.xxhash64("word"), 64 - FILE_BITS))
+    by_file.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 class Dictionary:
-    """Words by sorted hashes, with their ids one after the other."""
-
-    def __init__(self, packed: list, vocabulary: int):
-        """packed: rows of packed_words, taken out one by one."""
-        kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-        h = np.frombuffer(b"".join(r.h for r in packed), "<u8")
-        size = np.frombuffer(b"".join(r.n for r in packed), "<u4")
-        flat = np.frombuffer(b"".join(r.ids for r in packed), kind)
-        packed.clear()
-        start = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[:-1]
-        order = np.argsort(h)
-        self.hash, size, start = h[order], size[order], start[order]
-        self.start = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.uint32 if len(flat) < 1 << 32 else np.int64)
-        # the ids of each word moved to its place in the order of the hashes, a stretch of words at a time
-        self.flat = np.empty_like(flat)
-        for lo in range(0, len(size), 1 << 18):
-            hi = min(len(size), lo + (1 << 18))
-            n = size[lo:hi].astype(np.int64)
-            place = np.repeat(start[lo:hi] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            self.flat[int(self.start[lo]) : int(self.start[hi])] = flat[place]
+    """The files of write_dictionary, mapped into memory where the file system allows it, read at first use in each process."""
+
+    def __init__(self, folder: str, vocabulary: int):
+        self.folder, self.kind, self.files = folder, np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4"), None
+
+    def __getstate__(self):
+        return self.__dict__ | {"files": None}
+
+    def _open(self) -> None:
+        where, base = fs.FileSystem.from_uri(self.folder)
+        if isinstance(where, fs.LocalFileSystem):
+            where = fs.LocalFileSystem(use_mmap=True)
+        self.files = {}
+        for info in where.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            if info.base_name.isdigit():
+                raw = where.open_input_file(info.path).read_buffer()
+                n = int(np.frombuffer(raw, "<u8", 1)[0])
+                self.files[int(info.base_name)] = (*(np.frombuffer(raw, "<u8", n, 8 + 8 * n * i) for i in range(3)), np.frombuffer(raw, self.kind, offset=8 + 24 * n))
 
     def find(self, words: list[str]) -> dict[str, bytes | None]:
         """The ids of each word as 32-bit integers in bytes; None for one that isn't here."""
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        if not len(self.hash):
-            return dict.fromkeys(words)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        ok = (self.hash[at] == h).tolist()
-        a = self.start[at].astype(np.int64)
-        n = self.start[at + 1].astype(np.int64) - a
-        ends = np.cumsum(n)
-        raw = self.flat[np.repeat(a - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype(np.int32).tobytes()
-        return {w: raw[4 * (j - k) : 4 * j] if yes else None for w, yes, j, k in zip(words, ok, ends.tolist(), n.tolist())}
+        if self.files is None:
+            self._open()
+        out: dict[str, bytes | None] = dict.fromkeys(words)
+        h, check = _digests((w.encode() for w in words), len(words))
+        order = np.argsort(h, kind="stable")
+        files = (h[order] >> np.uint64(64 - FILE_BITS)).astype(np.int64)
+        ends = np.searchsorted(files, np.arange(1, 1 << FILE_BITS))
+        for name, of in enumerate(np.split(order, ends)):
+            if not len(of) or name not in self.files:
+                continue
+            known, checks, last, flat = self.files[name]
+            at = np.minimum(np.searchsorted(known, h[of]), len(known) - 1)
+            yes = (known[at] == h[of]) & (checks[at] == check[of])
+            of, at = of[yes], at[yes]
+            if not len(of):
+                continue
+            b = last[at].astype(np.int64)
+            n = b - np.where(at > 0, last[at - 1], 0).astype(np.int64)
+            stop = np.cumsum(n)
+            raw = flat[np.repeat(b - stop, n) + np.arange(int(stop[-1]))].astype("<i4").tobytes()
+            for i, j, k in zip(of.tolist(), stop.tolist(), n.tolist()):
+                out[words[i]] = raw[4 * (j - k) : 4 * j]
+        return out
 
 
 def least_count(words: DataFrame) -> tuple[int, bool]:
     """The least count of words that fit into the dictionary, and whether all do."""
-    got = words.groupBy("c").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).orderBy(F.desc("c")).limit(MOST_WORDS + 1).collect()
+    got = words.groupBy("c").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).orderBy(F.desc("c")).limit(MOST_WORDS + 1).toLocalIterator()
     n = ids = 0
     least = 1 << 62
     for r in got:
@@ -392,53 +455,80 @@ def least_count(words: DataFrame) -> tuple[int, bool]:
     return least, True
 
 
-def encode(docs: DataFrame, m: Model) -> DataFrame:
-    """docs: doc_id, text; other columns are ignored.
+def _ints(raw: list[bytes | None]) -> pa.Array:
+    flat = np.frombuffer(b"".join([x or b"" for x in raw]), "<i4")
+    ends = np.cumsum([len(x or b"") // 4 for x in raw])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
 
-    One row for each row of docs: doc_id, text, ids (array of int).  A null or
-    empty text has no ids; repeated rows stay repeated; equal texts have equal
-    ids; an empty table gives no rows.
-    """
+
+def _encoded(docs: DataFrame, m: Model, more) -> DataFrame:
+    """doc_id, text, ids and what more, a function of texts and their ids as bytes, adds; more.schema says what."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     held = spark.sparkContext.broadcast(m)
     words = encoded_words(docs, m, held)
     least, every = least_count(words)
-    vocabulary = 1 + max([*m.ids.values(), *m.byte_ids.values(), m.unknown])
-    known = spark.sparkContext.broadcast(Dictionary(packed_words(words.where(F.col("c") >= least), vocabulary).collect(), vocabulary))
-
-    def look(texts: list[bytes | None], more: list[list] | None = None) -> tuple[list, list]:
-        """Ids of each text, or None and its unknown words.  more: of each text, (word, ids) known besides."""
-        parts = [held.value.words(t.decode() if t else "") for t in texts]
-        found = known.value.find(list({w for p in parts for w in p}))
-        if more is not None:
-            for x in more:
-                found |= {y["word"]: np.array(y["ids"], np.int32).tobytes() for y in x or ()}
-        if None not in found.values():
-            return [b"".join(map(found.__getitem__, p)) for p in parts], [None] * len(parts)
-        missing = [sorted({w for w in p if found[w] is None}) or None for p in parts]
-        return [None if x else b"".join(map(found.__getitem__, p)) for p, x in zip(parts, missing)], missing
-
-    def ints(raw: list[bytes | None]) -> pa.Array:
-        flat = np.frombuffer(b"".join([x or b"" for x in raw]), np.int32)
-        ends = np.cumsum([len(x or b"") // 4 for x in raw])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+    known = Dictionary(f"{common.shared_dir(spark)}/dictionary", m.size)
+    write_dictionary(words.where(F.col("c") >= least), known.folder, m.size)
+    schema = "doc_id long, text string, ids array<int>" + more.schema
+    opened: list[Dictionary] = []
+
+    def look(texts: list[bytes | None], besides: list[list] | None = None) -> tuple[list, list]:
+        """Ids of each text, or None and its unknown words.  besides: of each text, (word, ids) known besides."""
+        if not opened:
+            opened.append(known)
+        model = held.value
+        parts = [model.parts(t.decode() if t else "") for t in texts]
+        cut = {p: model.words_of(p) for p in set().union(*parts)}
+        found = opened[0].find(list(set().union(*cut.values())))
+        for x in besides or ():
+            found |= {y["word"]: np.array(y["ids"], "<i4").tobytes() for y in x or ()}
+        lacking = {w for w, x in found.items() if x is None}
+        ids_of = {p: b"".join([found[w] or b"" for w in ws]) for p, ws in cut.items()}
+        raw = [b"".join(map(ids_of.__getitem__, ps)) for ps in parts]
+        if not lacking:
+            return raw, [None] * len(raw)
+        missing = [sorted(lacking.intersection(w for p in ps for w in cut[p])) or None for ps in parts]
+        return [None if x else r for r, x in zip(raw, missing)], missing
+
+    def finished(c, raw):
+        return {"doc_id": c["doc_id"], "text": c["text"], "ids": _ints(raw)} | more(held.value, c["text"], raw)
 
     if every:
-        return common.arrow_map(docs, lambda c: c | {"ids": ints(look(c["text"])[0])}, "doc_id long, text string, ids array<int>", SLICE)
+        return common.arrow_map(docs, lambda c: finished(c, look(c["text"])[0]), schema, SLICE)
 
     def mark(c):
-        raw, missing = look(c["text"])
+        missing = look(c["text"])[1]
         k = [xxhash.xxh3_128_digest(t or b"") for t in c["text"]]
-        return c | {"k1": [int.from_bytes(x[:8], "big", signed=True) for x in k], "k2": [int.from_bytes(x[8:], "big", signed=True) for x in k], "ids": ints(raw), "missing": missing}
+        return {"k1": [int.from_bytes(x[:8], "big", signed=True) for x in k], "k2": [int.from_bytes(x[8:], "big", signed=True) for x in k], "missing": missing, **{n: c[n] for n in ("doc_id", "text")}}
+
+    marked = common.arrow_map(docs, mark, "doc_id long, text string, k1 long, k2 long, missing array<string>", SLICE)
+    asked = marked.select("k1", "k2", "missing").where("missing is not null").distinct().select("k1", "k2", F.explode("missing").alias("word"))
+    asked = common.kept(asked.join(words.select("word", "ids"), "word").groupBy(F.col("k1").alias("r1"), F.col("k2").alias("r2")).agg(F.collect_list(F.struct("word", "ids")).alias("more")), "asked")
+    j = marked.drop("missing").join(asked, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").select("doc_id", "text", "more")
+    return common.arrow_map(j, lambda c: finished(c, look(c["text"], c["more"])[0]), schema, SLICE)
+
+
+def nothing(m: Model, texts: list, raw: list) -> dict:
+    return {}
+
+
+def round_trip(m: Model, texts: list, raw: list) -> dict:
+    """Whether the ids, decoded, are the text."""
+    return {"round_trip": [m.decode(np.frombuffer(r, "<i4").tolist()).encode() == (t or b"") for r, t in zip(raw, texts)]}
+
+
+nothing.schema, round_trip.schema = "", ", round_trip boolean"
 
-    marked = common.kept(common.arrow_map(docs, mark, "doc_id long, text string, k1 long, k2 long, ids array<int>, missing array<string>", SLICE), "marked")
-    rest = marked.where("missing is not null")
-    asked = rest.select("k1", "k2", "missing").distinct().select("k1", "k2", F.explode("missing").alias("word"))
-    asked = asked.join(words.select("word", "ids"), "word").groupBy(F.col("k1").alias("r1"), F.col("k2").alias("r2")).agg(F.collect_list(F.struct("word", "ids")).alias("more"))
-    rest = rest.join(asked, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))).select("doc_id", "text", "more")
-    rest = common.arrow_map(rest, lambda c: {"doc_id": c["doc_id"], "text": c["text"], "ids": ints(look(c["text"], c["more"])[0])}, "doc_id long, text string, ids array<int>")
-    return marked.where("missing is null").select("doc_id", "text", "ids").unionByName(rest)
+
+def encode(docs: DataFrame, m: Model) -> DataFrame:
+    """docs: doc_id, text; other columns are ignored.
+
+    One row for each row of docs: doc_id, text, ids (array of int).  A null or
+    empty text has no ids; repeated rows stay repeated; equal texts have equal
+    ids; an empty table gives no rows.
+    """
+    return _encoded(docs, m, nothing)
 
 
 def decode(encoded: DataFrame, m: Model) -> DataFrame:
@@ -453,10 +543,7 @@ def decode(encoded: DataFrame, m: Model) -> DataFrame:
 
 def sentencepiece(docs: DataFrame, path: str) -> DataFrame:
     """docs: doc_id, text.  doc_id, n_ids, ids, and round_trip: whether the ids decode to the text (a '▁' of the text itself decodes to a space)."""
-    m = model(path)
-    out = decode(encode(docs, m), m)
-    same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+    return _encoded(docs, model(path), round_trip).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,32 @@ def test_both_folds_agree(spark, monkeypatch):
     monkeypatch.setattr(lattice, "CHUNK", 37)
     m = lattice.model(PATH)
     df = docs(spark, list(enumerate(TEXTS + prose(23, 40))))
-    a, b = (sorted(map(tuple, lattice.encoded_words(df, m, fold=f).collect())) for f in ("arrow", "aggregate"))
+    a = sorted(map(tuple, lattice.encoded_words(df, m).collect()))
+    monkeypatch.setattr(lattice, "BITS", 3)
+    b = sorted(map(tuple, lattice.encoded_words(df, m).collect()))
     assert a == b and len(a) > 100
 
 
+def test_parts_and_words_are_the_whole_text():
+    m = lattice.model(PATH)
+    for t in TEXTS + prose(29, 20) + ["\n a\n  b ", "  ", " x  y ", "a  ", "\u3000  \u3000"]:
+        assert [w for p in m.parts(t) for w in m.words_of(p)] == m.words(t)
+
+
+def test_a_very_long_word(spark):
+    """A run without spaces is one word; its fold stays near linear."""
+    r = random.Random(8)
+    text = "".join(r.choice("abcdeinrst") for _ in range(60_000))
+    assert lattice.sentencepiece(docs(spark, [(1, text)]), PATH).first().ids == library([text])[0]
+
+
+def test_words_are_not_shuffled_for_their_group(spark):
+    m = lattice.model(PATH)
+    words = lattice.distinct_words(docs(spark, [(1, "a b")]), spark.sparkContext.broadcast(m))
+    plan = lattice.merge_fold(lattice.lattice(words, m))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_decode_like_the_library(spark):
     from sentencepiece import SentencePieceProcessor
 
