@@ -45,6 +45,48 @@ def seat(c: np.ndarray, rest: np.ndarray, n_rest: int, p: np.ndarray, d: float,
     return t
 
 
+class Draws:
+    """Uniform numbers for each key, which depend on the key and on how many went before, not on the keys beside it."""
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray):
+        self.state = keys.astype(np.uint64)
+
+    @staticmethod
+    def _uniform(x: np.ndarray) -> np.ndarray:
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ x >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53
+
+    def random(self, n: int) -> np.ndarray:
+        """One for each key, of which there are n."""
+        self.state = self.state + self.STEP
+        return self._uniform(self.state)
+
+    def exponential(self, owner: np.ndarray) -> np.ndarray:
+        """One for each entry; entries of a key stand in a row."""
+        self.state = self.state + self.STEP
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        return -np.log1p(-self._uniform(self.state[owner] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def seat_alone(c: np.ndarray, new: np.ndarray, d: float, draws: Draws) -> np.ndarray:
+    """Tables of each pair when its c customers come in and the weight of a new table stays as it is.
+
+    Parties as in seat.  Of a party as many open a table as the chance says on
+    average, rounded up or down at random.
+    """
+    t = np.minimum(c, 1).astype(np.int64)
+    done = t.copy()
+    while (done < c).any():
+        party = np.minimum(np.maximum(1, done // 8), c - done)
+        expected = party * new / np.maximum(new + done - d * t, 1e-300)
+        t += np.minimum(party, (expected + draws.random(len(c))).astype(np.int64))
+        done += party
+    return t
+
+
 class Tables:
     """Table sizes of pairs, table by table in the order of the pairs; kept for pairs of two customers or more."""
 
@@ -52,7 +94,7 @@ class Tables:
         self.pairs = np.nonzero(c > 1)[0]
         self.c = c[self.pairs].astype(np.int64)
         self.owner = np.repeat(np.arange(len(self.pairs)), t[self.pairs])
-        share = rng.exponential(size=len(self.owner))
+        share = rng.exponential(self.owner) if isinstance(rng, Draws) else rng.exponential(size=len(self.owner))
         share /= np.bincount(self.owner, weights=share, minlength=len(self.pairs))[self.owner] if len(self.owner) else 1
         free = self.c - t[self.pairs]
         self.size = 1 + np.floor(share * free[self.owner]).astype(np.int64)
@@ -77,10 +119,10 @@ class Tables:
         t = np.bincount(owner, minlength=n)
         old = self.c - 1 - d * t
         opens = rng.random(n) * (old + new) < new
-        stay = np.nonzero(~opens)[0]
+        stay, where = np.nonzero(~opens)[0], rng.random(n)
         weight = np.cumsum(size - d)
         before = np.concatenate([[0.0], weight])[np.searchsorted(owner, np.arange(n))]
-        at = np.searchsorted(weight, before[stay] + rng.random(len(stay)) * old[stay], side="right")
+        at = np.searchsorted(weight, before[stay] + where[stay] * old[stay], side="right")
         first, last = np.searchsorted(owner, stay), np.searchsorted(owner, stay, side="right") - 1
         np.add.at(size, np.clip(at, first, last), 1)
         added = np.nonzero(opens)[0]
@@ -89,6 +131,20 @@ class Tables:
         self.owner = np.concatenate([owner, added])[order]
 
 
+def one_restaurant(c: np.ndarray, p: np.ndarray, d: float, strength: float, rng: np.random.Generator, sweeps: int, burn_in: int) -> np.ndarray:
+    """Tables of each dish of one restaurant, the sum over the sweeps past burn_in.  c: customers; p: what the parent predicts."""
+    one = np.zeros(len(c), np.int64)
+    t = seat(c, one, 1, p, d, strength, rng)
+    tables, total = Tables(c, t, rng), np.zeros(len(c), np.int64)
+    for i in range(sweeps):
+        new = (strength + d * t.sum()) * p[tables.pairs]
+        tables.sweep(new, p[tables.pairs], d, rng)
+        t[tables.pairs] = tables.count()
+        if i >= burn_in:
+            total += t
+    return total
+
+
 class Level:
     """Pairs of a level in the order of (context, dish)."""
 

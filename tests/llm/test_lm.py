@@ -70,17 +70,35 @@ def test_the_word_probabilities_sum_to_at_most_one(spark):
     texts = prose(12, 60, vocabulary=80)
     df = docs(spark, [(i, t) for i, t in enumerate(texts)]).withColumn("train", F.lit(True))
     vocab = common.kept(lm.vocabulary(df), "v")
-    model, chars = lm.spelling(vocab, 2)
+    model, chars = lm.spelling(vocab, 2), 2
     hot = {w: 1 for w in sorted({w for t in texts for w in lm.tokens(t.encode())})[:10]}
     rows = lm.rare_words(vocab, model, chars, hot).collect()
     total = sum(10**r.log_b for r in rows if r.log_b is not None)
     assert 0.5 < total <= 1.001 and all((r.log_b is None) == (r.word.encode() in hot) for r in rows)
 
 
-def test_spelling_takes_shorter_contexts_when_there_are_too_many(spark):
-    df = docs(spark, list(enumerate(prose(13, 20)))).withColumn("train", F.lit(True))
-    model, chars = lm.spelling(common.kept(lm.vocabulary(df), "v"), 4, max_grams=150)
-    assert chars < 4 and np.isfinite(lm.spell_log10(model, chars, [b"abc", b"never"])).all()
+def test_partitions_do_not_change_scores(spark):
+    texts = prose(17, 90, words=30, vocabulary=200)
+    df = docs(spark, EDGE[:-1] + [(100 + i, t) for i, t in enumerate(texts)]).withColumn("train", ~common.held_out(F.col("doc_id"), 4))
+    runs = []
+    for n, shuffles in ((1, "3"), (7, "5")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        try:
+            runs.append(sorted(((r.doc_id, r.n_tokens, round(r.score, 9), round(r.base_score, 9)) for r in lm.score(df.repartition(n), hot=20, top=50).collect()), key=str))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert runs[0] == runs[1]
+
+
+def test_class_probabilities_sum_to_one(spark):
+    r = random.Random(5)
+    kinds = 9
+    pairs = Counter(r.choice([0, 3, 9]) * kinds + min(8, int(r.expovariate(0.4))) for _ in range(900))
+    m = 10.0 ** lm.class_matrix(spark.createDataFrame(list(pairs.items()), "pair long, n long"), kinds)
+    assert m.shape == (10, 9) and np.allclose(m.sum(axis=1), 1, atol=1e-4)
+    for u in (0, 3, 9):
+        n = np.array([pairs[u * kinds + k] for k in range(kinds)])
+        assert np.abs(m[u] - n / n.sum()).max() < 0.03
 
 
 def test_no_training_texts_and_no_texts(spark):

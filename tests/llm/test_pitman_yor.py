@@ -1,6 +1,6 @@
 import numpy as np
 
-from siftloom.llm.pitman_yor import Hierarchy, Tables, seat
+from siftloom.llm.pitman_yor import Draws, Hierarchy, Tables, seat, seat_alone
 
 
 def toy(seed=3, contexts=12, dishes=20, n=4000):
@@ -56,6 +56,32 @@ def test_gibbs_keeps_to_the_posterior():
     assert np.abs(share[1:] - np.array([weight[k] / total for k in (1, 2, 3)])).max() < 0.01
 
 
+def test_seating_alone_keeps_to_the_posterior_and_to_the_keys():
+    """As above, with draws by key; a subset of the keys has the same tables."""
+    d, p, strength = 0.5, 0.3, 1.0
+    new = 0.6  # held fixed
+    weight = {1: new * (1 - d) * (2 - d), 2: 3 * new * new * (1 - d), 3: new**3}
+    total = sum(weight.values())
+    n = 20_000
+    keys = np.random.default_rng(4).integers(0, 1 << 63, n).astype(np.uint64)
+
+    def run(of):
+        c = np.full(len(of), 3)
+        t = seat_alone(c, np.full(len(of), new), d, Draws(of))
+        draws = Draws(of ^ Draws.STEP)
+        tables, seen = Tables(c, t, draws), []
+        for i in range(20):
+            tables.sweep(np.full(len(of), new), np.zeros(len(of)), d, draws)
+            if i >= 8:
+                seen.append(tables.count())
+        return np.array(seen)
+
+    got = run(keys)
+    share = np.bincount(got.ravel(), minlength=4) / got.size
+    assert np.abs(share[1:] - np.array([weight[k] / total for k in (1, 2, 3)])).max() < 0.01
+    assert (run(keys[::7]) == got[:, ::7]).all()
+
+
 def test_empty():
     e = np.empty(0, np.int64)
     m = Hierarchy(e, e, e, 5, 1, 100).average()
