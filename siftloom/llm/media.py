@@ -20,13 +20,13 @@ WIDTH, TILE = 64, 16
 STRIP = 1 << 14
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (height, width) or (height, width, 3); one byte a sample up to maxval 255, else two.  P1 and P4 have 1 for black."""
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """P1 to P6 as (height, width) or (height, width, 3), and its greatest sample; one byte a sample up to maxval 255, else two.  P1 and P4 have 1 for black."""
     kind, at, got = data[:2], 2, []
     if not re.fullmatch(rb"P[1-6]", kind):
         raise ValueError("not a Netpbm picture")
     while len(got) < (2 if kind in (b"P1", b"P4") else 3):
-        m = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*(\d+)").match(data, at)
+        m = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*(\d{1,10})(?!\d)").match(data, at)
         if not m:
             raise ValueError("broken Netpbm header")
         got.append(int(m[1]))
@@ -35,43 +35,51 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if top < 1 or top > 65_535:
         raise ValueError("maxval out of range")
     deep = 3 if kind in (b"P3", b"P6") else 1
+    n = w * h * deep
+    least = {b"P1": n, b"P2": 2 * n - 1, b"P3": 2 * n - 1, b"P4": (w + 7) // 8 * h}.get(kind, n * (2 if top > 255 else 1))
+    if len(data) - at < least:  # before any array is made
+        raise ValueError("too few samples")
     if kind in (b"P1", b"P2", b"P3"):
         body = re.sub(rb"#[^\n\r]*", b"", data[at:])
-        if kind == b"P1":
-            body = b" ".join(re.findall(rb"[01]", body))
-        flat = np.array(body.split(), dtype=np.uint16 if top > 255 else np.uint8)
+        words = re.findall(rb"[01]", body) if kind == b"P1" else body.split()
+        if len(words) < n or any(len(x) > 5 or not x.isdigit() for x in words[:n]):
+            raise ValueError("too few samples, or others than numbers")
+        flat = np.array(words[:n], dtype="S5").astype(np.int64) if n else np.empty(0, np.int64)
     elif kind == b"P4":
-        row = (w + 7) // 8
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, row * h, at + 1).reshape(h, row), axis=1)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, least, at + 1).reshape(h, (w + 7) // 8), axis=1)
         flat = bits[:, :w].ravel()
     else:
-        flat = np.frombuffer(data, ">u2" if top > 255 else np.uint8, w * h * deep, at + 1)
-    if flat.size < w * h * deep:
-        raise ValueError("too few samples")
-    out = flat[: w * h * deep].reshape((h, w, 3) if deep == 3 else (h, w))
-    return out.astype(np.uint16) if top > 255 else out
+        flat = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at + 1)
+    if n and int(flat.max()) > top:
+        raise ValueError("a sample is beyond maxval")
+    return flat.reshape((h, w, 3) if deep == 3 else (h, w)).astype(np.uint16 if top > 255 else np.uint8), top
 
 
-def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (palette), 24 or 32 bits as (height, width, 3), or (height, width) if its palette is grey."""
+def decode_bmp(data: bytes) -> tuple[np.ndarray, int]:
+    """Uncompressed BMP of 8 (palette), 24 or 32 bits as (height, width, 3), or (height, width) if its palette is grey, and 255."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP picture")
     start, head = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
     w, h, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if packed not in (0, 3) or bits not in (8, 24, 32) or w < 0:
         raise ValueError("BMP kind not supported")
     row = (w * bits // 8 + 3) // 4 * 4
+    if start + row * abs(h) > len(data):
+        raise ValueError("too few samples")
     px = np.frombuffer(data, np.uint8, row * abs(h), start).reshape(abs(h), row)[:, : w * bits // 8]
     px = px if h < 0 else px[::-1]
     if bits == 8:
         n = struct.unpack_from("<I", data, 46)[0] or 256
+        if 14 + head + 4 * n > len(data) or px.size and int(px.max()) >= n:
+            raise ValueError("the palette is too short")
         pal = np.frombuffer(data, np.uint8, 4 * n, 14 + head).reshape(n, 4)[:, 2::-1]
         grey = (pal == pal[:, :1]).all()
-        return pal[:, 0][px] if grey else pal[px]
-    return px.reshape(abs(h), w, bits // 8)[:, :, 2::-1]
+        return (pal[:, 0][px] if grey else pal[px]), 255
+    return px.reshape(abs(h), w, bits // 8)[:, :, 2::-1], 255
 
 
-def decode(data: bytes) -> np.ndarray:
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """The samples of a picture and the greatest that its kind allows; ValueError or struct.error if it can't be read."""
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
@@ -126,14 +134,15 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def media_row(data: bytes | None, tile: int = TILE) -> tuple:
-    """What is read from a stored picture, in the order of NAMES; nulls if it can't be read or has no pixels."""
+    """What is read from a stored picture, in the order of NAMES; nulls if it can't be read or has no pixels.  Tiles and features see samples scaled to 0 to 255."""
     try:
-        img = decode(data or b"")
+        img, top = decode(data or b"")
     except (ValueError, struct.error):
-        img = np.empty((0, 0))
+        img, top = np.empty((0, 0)), 255
     if not img.size:
         return (None,) * len(NAMES)
     raw, g = img.tobytes(), grey(img)
+    g = g if top == 255 else g * (255.0 / top)
     small = np.clip(np.rint(area_resize(g, tile, tile)), 0, 255).astype(np.uint8)
     return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(g), encode_npy(small)
 
