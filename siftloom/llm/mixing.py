@@ -26,8 +26,8 @@ MOST_SOURCES = 20_000
 
 
 def sizes(docs: DataFrame, carry: tuple = ()) -> DataFrame:
-    """doc_id, source, size in words, and the columns that carry names."""
-    return docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size in words, tie (a hash of the text), and the columns that carry names."""
+    return docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
 
 
 def targets(by_source: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -60,12 +60,13 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: t
     names.  A null text has size 0; a null
     source is a source, the last; sources of size 0 have target 0; an empty table
     gives no rows.  Repeated rows are rows like any other and tie in the order;
-    ties are broken by size and then share one place, of which all take alike as
-    long as the target lasts, in the order Spark meets them.
+    ties are broken by size and by a hash of the text; rows that are equal in all of
+    these are equal, so it doesn't matter which of them comes first.  Null ids have
+    their place by the text, so many of them don't share a bin.
     """
     s = common.kept(sizes(docs), "sizes")
     all_of = sizes(docs, carry) if carry else s
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("tie").cast("string")))))
     dealt = lambda df: df.withColumn("order_key", key).withColumn("bin", F.substring("order_key", 1, digits))
     s, all_of = dealt(s), dealt(all_of)
     bins = common.kept(s.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: t
     j = all_of.join(t, F.col("source").eqNullSafe(F.col("t_source")))
     sure = j.where(F.coalesce(F.col("bin") != F.col("cut_bin"), F.lit(True)))
     sure = sure.withColumn("part", F.when(F.col("bin") < F.col("cut_bin"), F.col("size")).otherwise(0).cast("long"))
-    inside = Window.partitionBy("source").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source").orderBy("order_key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     edge = j.where(F.col("bin") == F.col("cut_bin")).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before"))).cast("long"))
     names = ["doc_id", "source", "size", "source_size", "target", "whole", "part", *carry]
