@@ -32,7 +32,7 @@ def train_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
     pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     random.Random(7).shuffle(pieces)
     try:
-        return zstandard.train_dictionary(size, pieces[:12_000], k=1000, d=8).as_bytes()
+        return zstandard.train_dictionary(size, pieces, k=1000, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(pieces)[:size] or b"\n"
 
@@ -67,7 +67,7 @@ class Sizes:
             if not i or len(p) > PIECE // 2:
                 least = min(least, (b - g) / (len(p) + SMOOTH))
         n = len(text) + SMOOTH
-        return [10 * (bad - good) / (bad + good + SMOOTH), 10 * (bad - good) / n, 10 * min(least, 1.0) if text else 0.0, 4 * SMOOTH / n]
+        return [10 * (bad - good) / (bad + good + SMOOTH), 10 * (bad - good) / n, 10 * min(least, 1.0) if text else 0.0]
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
@@ -102,10 +102,10 @@ class Model:
         return score
 
 
-def train(docs: DataFrame, labels: DataFrame, dict_rows: int = 1500, fit_rows: int = 3000, sample_bytes: int = 16_384) -> Model:
+def train(docs: DataFrame, labels: DataFrame, dict_rows: int = 1500, fit_rows: int = 3000) -> Model:
     """docs: doc_id, text; labels: doc_id, quality.  Rows without a label or an id are not learned from.
 
-    The dictionaries see at most sample_bytes of a sampled text.
+    Only dict_rows and fit_rows bound what is learned from; texts count whole.
     """
     spark = docs.sparkSession
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, dict_rows: int = 1500, fit_rows: i
     ids = spark.createDataFrame([(d, q, i < cut[q]) for d, q, i in ids], "s_id long, quality int, for_dict boolean")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("s_id"))
     sample = common.kept(sample.select("doc_id", "quality", "for_dict", "text"), "sample")
-    got = sample.where("for_dict").select("quality", F.substring(F.encode("text", "UTF-8"), 1, sample_bytes), "doc_id").orderBy("doc_id").collect()
+    got = sample.where("for_dict").select("quality", F.encode("text", "UTF-8"), "doc_id").orderBy("doc_id").collect()
     good, bad = ([bytes(r[1]) for r in got if r[0] == q and r[1]] for q in (1, 0))
     good, bad = own_lines(good, bad)
     good, bad = train_dictionary(good), train_dictionary(bad)
