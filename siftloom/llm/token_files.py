@@ -46,7 +46,8 @@ class WordTokenizer:
     white space follows, and BPE never crosses such a cut, so a text's ids are
     those of its pieces between these cuts.  If the file's pre-tokenizer is the
     usual byte-level one, pieces of SAFE characters are cut into pre-tokens here
-    and the library's model encodes each distinct one.
+    and the library's model encodes each distinct one.  A text with the string of
+    an added token (as <|endoftext|>) goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -55,7 +56,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes out of a text before all else.
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
@@ -89,14 +91,14 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of dtype."""
-        cut = [CUT.split(t) if OTHER_SPACE.search(t) else t.split(" ") for t in texts]
+        cut = [None if any(a in t for a in self.added) else CUT.split(t) if OTHER_SPACE.search(t) else t.split(" ") for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
             self.parts.clear()
-        new = {w for parts in cut for w in parts[1:]}.difference(self.words)
+        new = {w for parts in cut if parts for w in parts[1:]}.difference(self.words)
         self._learn(new)
         get = self.words.__getitem__
-        return [(self.raw(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:])) for parts in cut]
+        return [self.raw(t) if parts is None else (self.raw(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:])) for t, parts in zip(texts, cut)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -246,8 +248,8 @@ def token_files(docs: DataFrame, path: str, folder: str | None = None) -> DataFr
 
     One row for each row of docs.  A null or empty text is its end id alone;
     repeated rows stay repeated and stand side by side; a null doc_id comes
-    first; special tokens' strings in a text are ordinary text; an empty table
-    writes no file and gives no rows.
+    first; special tokens' strings in a text become their ids, as the library has
+    it; an empty table writes no file and gives no rows.
     """
     ids = common.kept(encoded(docs, path), "ids")
     folder = folder or f"{common.shared_dir(docs.sparkSession)}/token-files"

@@ -10,15 +10,13 @@ from helpers import EDGE, docs, prose
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
 
-TEXTS = ["", " ", "a×b÷c ªº ²³ x̀", "ǅ Ɐ ß’s İi \x00 \x7f ~", "  ", "a", " a", "a b", "a  b", "a   b  ", " \n", "a \nb", "a\n b", "a \n b", "a\n\n  b\t c ", "x\x1cy z\x85 w  v", "don't I'll  we're", "<|endoftext|> b <|endoftext|>", "é\U0001f600 \U0001f600é 123 4,5", "tab\t x", "end\n", "　a 　 b", "a  b", "\r\n x"]
+TEXTS = ["", " ", "a×b÷c ªº ²³ x̀", "ǅ Ɐ ß’s İi \x00 \x7f ~", "  ", "a", " a", "a b", "a  b", "a   b  ", " \n", "a \nb", "a\n b", "a \n b", "a\n\n  b\t c ", "x\x1cy z\x85 w  v", "don't I'll  we're", "<|endoftext|> b <|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>x", "é\U0001f600 \U0001f600é 123 4,5", "tab\t x", "end\n", "　a 　 b", "a  b", "\r\n x"]
 
 
 def library(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_words_encode_like_the_library():
