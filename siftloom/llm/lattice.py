@@ -13,8 +13,8 @@ characters that no piece has.  Each distinct part (a word) is encoded once:
    path over a BPE model's scores is not that model's encoding.
 
 The merge fold holds a word's cuts as the bits of a long.  Words of more than
-BITS characters (long runs without a space) don't fit; their edges are joined on
-hashes of the substrings and folded in Arrow batches with a heap.
+BITS characters (long runs without a space) don't fit: they skip steps 1 to 3 and
+are merged where they are, with a heap, in near linear time.
 
 Texts then look their words up in files of the shared folder, sorted by hash and
 mapped into memory, so all workers of a machine share one copy.  They hold all
@@ -48,12 +48,9 @@ from . import common
 
 SPACE = "▁"
 MOST_WORDS, MOST_IDS = 6_000_000, 40_000_000
-FLUSH, SLICE = 400_000, 4 << 20
-#: Long words whose substrings are exploded together, each distinct one once.
-CHUNK = 4000
-#: Of the polynomial hash: an odd number and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BACK = pow(BASE, -1, 1 << 64)
+FLUSH, SLICE = 200_000, 2 << 20
+#: Parts of texts whose ids a task remembers; after that it starts anew.
+REMEMBERED = 300_000
 #: Characters of the longest word whose cuts are bits of a long.
 BITS = 62
 #: Files of the dictionary are known by so many first bits of their words' hashes. Seeds of the two hashes of a word.
@@ -84,12 +81,13 @@ class Model:
         self.pieces, self.byte_ids, self.unigram, self.unknown = pieces, byte_ids, unigram, unknown
         self.longest = max((len(p) for p, _, _ in pieces), default=1)
         self.ids = {p: i for p, _, i in pieces}
-        ranks = {s: r for r, s in enumerate(sorted({s for _, s, _ in pieces}, reverse=True))}
-        #: Rank by falling score and length of each piece, as merged_cuts orders edges.
-        self.order = np.array([ranks[s] << 32 | len(p) for p, s, _ in pieces], dtype=np.int64)
+        by_score = {s: r for r, s in enumerate(sorted({s for _, s, _ in pieces}, reverse=True))}
+        #: Of pieces of two characters and more: rank by falling score << 32 | length, an edge without its start.
+        self.ranks = {p: by_score[s] << 32 | len(p) for p, s, _ in pieces if len(p) > 1}
         chars = "".join(sorted({c for p in self.ids for c in p} - {SPACE}))
         inside = "[" + re.escape(chars) + "]" if chars else "(?!)"
         self.cut = re.compile(f"{SPACE}*{inside}+|{SPACE}+|.", re.S)
+        self.plain = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") <= set(chars)
         self.text = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.size = 1 + max([*self.text, unknown])
         self.texts = [self.text.get(i, b"") for i in range(self.size)]
@@ -114,6 +112,8 @@ class Model:
         return text.split(" ")
 
     def words_of(self, part: str) -> list[str]:
+        if self.plain and part.isascii() and part.isalnum():
+            return [SPACE + part]
         return self.cut.findall(SPACE + part.replace(" ", SPACE))
 
     def part_ids(self, part: str) -> list[int]:
@@ -124,6 +124,11 @@ class Model:
             return [self.unknown]
         return [self.byte_ids[b] for b in part.encode()]
 
+    def decoded(self, raw: bytes) -> bytes:
+        """The UTF-8 bytes of ids, given as 32-bit integers, without the space put before the text."""
+        text = b"".join(map(self.texts.__getitem__, memoryview(raw).cast("i")))
+        return text[1:] if text.startswith(b" ") else text
+
     def decode(self, ids) -> str:
         texts, size = self.texts, self.size
         text = b"".join([texts[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
@@ -169,14 +174,16 @@ def lattice(words: DataFrame, m: Model) -> DataFrame:
     An edge of a BPE model is a long: rank by falling score << 32 | start << 8 |
     length, so the least is the leftmost of the best.  One of a unigram model is
     (s, l, score).  Each word has the empty substring too, which joins an edge
-    of null, so that words without edges keep their row.  Words are partitioned
+    of null, so that words without edges keep their row; words of more than BITS
+    characters have that alone for a BPE model.  Words are partitioned
     by themselves already, so the group needs no shuffle.
     """
     spark = words.sparkSession
-    ranks = {s: r for r, s in enumerate(sorted({s for _, s, _ in m.pieces}, reverse=True))}
     least = 1 if m.unigram else 2
-    table = spark.createDataFrame([("", None, None), *((p, ranks[s] << 32 | len(p), s) for p, s, _ in m.pieces if len(p) >= least)], "piece string, o long, score double")
-    starts = words.withColumn("n", F.char_length("word")).select("word", "c", "n", F.explode(F.expr(f"sequence(-1, greatest(-1, n - {least}))")).alias("s"))
+    table = spark.createDataFrame([("", None, None), *((p, m.ranks.get(p, 0), s) for p, s, _ in m.pieces if len(p) >= least)], "piece string, o long, score double")
+    starts = words.withColumn("n", F.char_length("word"))
+    last = f"n - {least}" if m.unigram else f"if(n > {BITS}, -1, n - {least})"
+    starts = starts.select("word", "c", "n", F.explode(F.expr(f"sequence(-1, greatest(-1, {last}))")).alias("s"))
     lengths = F.expr(f"sequence(if(s < 0, 0, {least}), if(s < 0, 0, least({m.longest}, n - s)))")
     sub = starts.select("word", "c", "s", F.explode(lengths).alias("l")).select("word", "c", "s", "l", F.expr("if(s < 0, '', substr(word, s + 1, l))").alias("piece"))
     if m.unigram:
@@ -187,7 +194,7 @@ def lattice(words: DataFrame, m: Model) -> DataFrame:
 
 
 def merge_fold(edges: DataFrame) -> DataFrame:
-    """word, c, cuts: bit i of the long cuts says that a BPE model cuts a word of at most BITS characters before character i.
+    """word, c, cuts: bit i of the long cuts says that a BPE model cuts the word before character i; null for words of more than BITS characters.  The sign bit says nothing.
 
     The best edge with both ends among the cuts and one cut inside is merged, as
     often as there are characters.
@@ -196,9 +203,11 @@ def merge_fold(edges: DataFrame) -> DataFrame:
         'inner', shiftleft(shiftleft(1L, cast((o & 255L) - 1 as int)) - 1L, cast((o >> 8) & 16777215L as int) + 1),
         'ends', shiftleft(1L, cast((o >> 8) & 16777215L as int)) | shiftleft(1L, cast(((o >> 8) & 16777215L) + (o & 255L) as int))))""")
     best = lambda es, b: F.array_min(F.filter(es, lambda e: (b.bitwiseAND(e.ends) == e.ends) & (F.bit_count(b.bitwiseAND(e.inner)) == 1)))
-    step = lambda es: lambda b, _: F.coalesce(b.bitwiseAND(F.bitwise_not(best(es, b)["inner"])), b)
-    cuts = let(masks, lambda es: F.aggregate(F.expr("sequence(2, greatest(2, char_length(word)))"), F.expr("shiftleft(1L, char_length(word) + 1) - 1L"), step(es)))
-    return edges.select("word", "c", F.when(F.size("edges") == 0, F.expr("shiftleft(1L, char_length(word) + 1) - 1L")).otherwise(cuts).alias("cuts"))
+    # the sign says that no edge is left, so the rest of the steps look at none
+    step = lambda es: lambda b, _: F.when(b < 0, b).otherwise(F.coalesce(b.bitwiseAND(F.bitwise_not(best(es, b)["inner"])), b.bitwiseOR(F.lit(-(1 << 63)))))
+    every = F.expr("shiftleft(1L, char_length(word) + 1) - 1L")
+    cuts = let(masks, lambda es: F.aggregate(F.expr("sequence(2, greatest(2, char_length(word)))"), every, step(es)))
+    return edges.select("word", "c", F.when(F.char_length("word") > BITS, F.lit(None)).when(F.size("edges") == 0, every).otherwise(cuts).alias("cuts"))
 
 
 def viterbi_fold(edges: DataFrame, unknown_score: float) -> DataFrame:
@@ -211,68 +220,6 @@ def viterbi_fold(edges: DataFrame, unknown_score: float) -> DataFrame:
     return e.select("word", "c", F.expr(back).alias("cuts"))
 
 
-def substring_hashes(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all substrings of 2 to longest characters: a 64-bit polynomial hash (with the length), and word number * 2**24 + start."""
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    first = np.cumsum(n) - n
-    place = np.arange(len(flat)) - np.repeat(first, n)
-    code = np.repeat(np.arange(len(words)), n) << 24 | place
-    left = np.repeat(n, n) - place
-    flat = (flat + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    flat ^= flat >> np.uint64(29)
-    one = np.ones(1, np.uint64)
-    power = np.multiply.accumulate(np.concatenate([one, np.full(len(flat), BASE, np.uint64)]))
-    back = np.multiply.accumulate(np.concatenate([one, np.full(len(flat), BACK, np.uint64)]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * power[:-1], dtype=np.uint64)])
-    hashes, codes = [], []
-    for k in range(2, longest + 1):
-        at = np.nonzero(left >= k)[0]
-        if not len(at):
-            break
-        h = (sums[at + k] - sums[at]) * back[at]
-        hashes.append((h ^ h >> np.uint64(31)) * np.uint64(2 * k + 1))
-        codes.append(code[at])
-    if not hashes:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(hashes).view(np.int64), np.concatenate(codes)
-
-
-def edge_rows(words: DataFrame, m: Model, held) -> DataFrame:
-    """words: word, c.  words, counts, piece, at: for each CHUNK of words one row with them, then a row for each distinct substring of theirs that joins a piece (its number in m.pieces).
-
-    Substrings and pieces are joined on their hashes; arrow_fold compares the
-    characters.  at: where a substring is, as the word's number in the chunk *
-    2**24 + start.  The rows of a chunk stay in a row within a partition, as the
-    join is a broadcast.
-    """
-    spark = words.sparkSession
-    long = [(i, p) for i, (p, _, _) in enumerate(m.pieces) if len(p) > 1]
-    h, code = substring_hashes([p for _, p in long], m.longest)
-    whole = {k: x for x, k, n in zip(h.tolist(), (code >> 24).tolist(), (code & 0xFFFFFF).tolist()) if not n}  # the longest comes last
-    table = spark.createDataFrame([(whole[k], i) for k, (i, _) in enumerate(long)], "h long, piece int")
-    longest = m.longest
-    schema = pa.schema([("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("h", pa.int64()), ("at", pa.list_(pa.int64()))])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(lo, CHUNK)
-                names = part.column(0).to_pylist()
-                yield pa.RecordBatch.from_pydict({"words": [names], "counts": [part.column(1).to_pylist()], "h": [None], "at": [None]}, schema=schema)
-                h, code = substring_hashes(names, longest)
-                order = np.argsort(h, kind="stable")
-                h, code = h[order], code[order]
-                first = np.concatenate([[0], np.nonzero(np.diff(h))[0] + 1]) if len(h) else np.empty(0, np.int64)
-                at = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(h)]]).astype(np.int32)), pa.array(code))
-                none = [pa.nulls(len(first), schema.field(i).type) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(h[first]), at], schema=schema)
-
-    sub = words.select("word", "c").mapInArrow(explode, "words array<string>, counts array<long>, h long, at array<long>")
-    j = sub.join(F.broadcast(table), "h", "left").where("words is not null or piece is not null")
-    return j.select("words", "counts", "piece", "at")
-
-
 def merged_cuts(n: int, order: list[int]) -> list[int]:
     """Cuts of a word of n characters by merges, 0 and n included; order: of its edges."""
     edge = {(o >> 8 & 0xFFFFFF, (o >> 8 & 0xFFFFFF) + (o & 0xFF)): o for o in order}
@@ -291,41 +238,10 @@ def merged_cuts(n: int, order: list[int]) -> list[int]:
     return [i for i in range(n + 1) if not gone[i]]
 
 
-def arrow_fold(rows: DataFrame, held) -> DataFrame:
-    """rows: of edge_rows.  word, c, ids."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            words, counts = t.column("words")[0].as_py(), t.column("counts")[0].as_py()
-            edges = t.slice(1).combine_chunks()
-            at = edges.column("at").combine_chunks()
-            n = pc.list_value_length(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            code, piece = at.flatten().to_numpy(), np.repeat(edges.column("piece").to_numpy().astype(np.int64), n)
-            known = held.value.pieces
-            same = [words[k].startswith(known[p][0], i) for k, i, p in zip((code >> 24).tolist(), (code & 0xFFFFFF).tolist(), piece.tolist())]
-            code, piece = code[same], piece[same]
-            owner, order = code >> 24, held.value.order[piece] | (code & 0xFFFFFF) << 8
-            by_word = np.argsort(owner, kind="stable")
-            ends = np.searchsorted(owner[by_word], np.arange(1, len(words)))
-            cuts = [merged_cuts(len(w), own.tolist()) for w, own in zip(words, np.split(order[by_word], ends))]
-            part_ids = held.value.part_ids
-            ids = [[i for a, b in zip(cut, cut[1:]) for i in part_ids(w[a:b])] for w, cut in zip(words, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["word", "c", "ids"])
-
-        waiting: list[pa.RecordBatch] = []
-        for b in batches:
-            heads = np.nonzero(b.column(0).is_valid().to_numpy(zero_copy_only=False))[0].tolist()
-            for lo, hi in zip([0, *heads], [*heads, b.num_rows]):
-                if lo in heads and waiting:
-                    yield done(waiting)
-                    waiting = []
-                if hi > lo:
-                    waiting.append(b.slice(lo, hi - lo))
-        if waiting:
-            yield done(waiting)
-
-    return rows.mapInArrow(fold, "word string, c long, ids array<int>")
+def long_cuts(word: str, m: Model) -> list[int]:
+    """merged_cuts of a word with the model's pieces that it holds."""
+    get, n = m.ranks.get, len(word)
+    return merged_cuts(n, [r | i << 8 for i in range(n) for k in range(i + 2, min(n, i + m.longest) + 1) if (r := get(word[i:k])) is not None])
 
 
 def encoded_words(docs: DataFrame, m: Model, held=None) -> DataFrame:
@@ -334,21 +250,21 @@ def encoded_words(docs: DataFrame, m: Model, held=None) -> DataFrame:
     words = distinct_words(docs, held)
 
     def run(c):
-        ids_of, out = held.value.part_ids, []
+        model, out = held.value, []
+        ids_of = model.part_ids
         for word, cut in zip(c["word"], c["cuts"]):
             w = word.decode()
-            at = cut if m_unigram else [i for i in range(len(w) + 1) if cut >> i & 1]
+            if cut is None:
+                at = long_cuts(w, model)
+            else:
+                at = cut if unigram else [i for i in range(len(w) + 1) if cut >> i & 1]
             out.append([i for a, b in zip(at, at[1:]) for i in ids_of(w[a:b])])
         return {"word": c["word"], "c": c["c"], "ids": out}
 
-    m_unigram, schema = m.unigram, "word string, c long, ids array<int>"
-    if m_unigram:
-        cuts = viterbi_fold(lattice(words, m), min((s for _, s, _ in m.pieces), default=0.0) - 10)
-        return common.kept(common.arrow_map(cuts, run, schema), "words")
-    words = words.withColumn("short", F.char_length("word") <= BITS)
-    short = common.arrow_map(merge_fold(lattice(words.where("short"), m)), run, schema)
-    long = arrow_fold(edge_rows(words.where("not short"), m, held), held)
-    return common.kept(short.unionByName(long), "words")
+    unigram = m.unigram
+    edges = lattice(words, m)
+    cuts = viterbi_fold(edges, min((s for _, s, _ in m.pieces), default=0.0) - 10) if unigram else merge_fold(edges)
+    return common.kept(common.arrow_map(cuts, run, "word string, c long, ids array<int>"), "words")
 
 
 def _digests(words: Iterable[bytes], n: int) -> list[np.ndarray]:
@@ -461,8 +377,8 @@ def _ints(raw: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
 
 
-def _encoded(docs: DataFrame, m: Model, more) -> DataFrame:
-    """doc_id, text, ids and what more, a function of texts and their ids as bytes, adds; more.schema says what."""
+def _encoded(docs: DataFrame, m: Model, checked: bool) -> DataFrame:
+    """doc_id, ids, and text, or if checked instead round_trip: whether the ids, decoded, are the text."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     held = spark.sparkContext.broadcast(m)
@@ -470,8 +386,9 @@ def _encoded(docs: DataFrame, m: Model, more) -> DataFrame:
     least, every = least_count(words)
     known = Dictionary(f"{common.shared_dir(spark)}/dictionary", m.size)
     write_dictionary(words.where(F.col("c") >= least), known.folder, m.size)
-    schema = "doc_id long, text string, ids array<int>" + more.schema
+    schema = "doc_id long, ids array<int>, " + ("round_trip boolean" if checked else "text string")
     opened: list[Dictionary] = []
+    remembered: dict[str, bytes] = {}  # of a task: ids of parts of texts
 
     def look(texts: list[bytes | None], besides: list[list] | None = None) -> tuple[list, list]:
         """Ids of each text, or None and its unknown words.  besides: of each text, (word, ids) known besides."""
@@ -479,20 +396,27 @@ def _encoded(docs: DataFrame, m: Model, more) -> DataFrame:
             opened.append(known)
         model = held.value
         parts = [model.parts(t.decode() if t else "") for t in texts]
-        cut = {p: model.words_of(p) for p in set().union(*parts)}
-        found = opened[0].find(list(set().union(*cut.values())))
+        if len(remembered) > REMEMBERED:
+            remembered.clear()
+        cut = {p: model.words_of(p) for p in set().union(*parts).difference(remembered)}
+        single = [ws[0] for ws in cut.values() if len(ws) == 1]
+        found = opened[0].find(list(set(single).union(*(ws for ws in cut.values() if len(ws) > 1))))
         for x in besides or ():
             found |= {y["word"]: np.array(y["ids"], "<i4").tobytes() for y in x or ()}
         lacking = {w for w, x in found.items() if x is None}
-        ids_of = {p: b"".join([found[w] or b"" for w in ws]) for p, ws in cut.items()}
-        raw = [b"".join(map(ids_of.__getitem__, ps)) for ps in parts]
+        new = {p: (found[ws[0]] or b"") if len(ws) == 1 else b"".join([found[w] or b"" for w in ws]) for p, ws in cut.items()}
+        get = remembered if not lacking else remembered | new
+        if not lacking:
+            remembered.update(new)
+        raw = [b"".join(map(get.__getitem__, ps)) for ps in parts]
         if not lacking:
             return raw, [None] * len(raw)
-        missing = [sorted(lacking.intersection(w for p in ps for w in cut[p])) or None for ps in parts]
+        missing = [sorted(lacking.intersection(w for p in ps for w in cut.get(p, ()))) or None for ps in parts]
         return [None if x else r for r, x in zip(raw, missing)], missing
 
     def finished(c, raw):
-        return {"doc_id": c["doc_id"], "text": c["text"], "ids": _ints(raw)} | more(held.value, c["text"], raw)
+        rest = {"round_trip": [held.value.decoded(r) == (t or b"") for r, t in zip(raw, c["text"])]} if checked else {"text": c["text"]}
+        return {"doc_id": c["doc_id"], "ids": _ints(raw)} | rest
 
     if every:
         return common.arrow_map(docs, lambda c: finished(c, look(c["text"])[0]), schema, SLICE)
@@ -509,18 +433,6 @@ def _encoded(docs: DataFrame, m: Model, more) -> DataFrame:
     return common.arrow_map(j, lambda c: finished(c, look(c["text"], c["more"])[0]), schema, SLICE)
 
 
-def nothing(m: Model, texts: list, raw: list) -> dict:
-    return {}
-
-
-def round_trip(m: Model, texts: list, raw: list) -> dict:
-    """Whether the ids, decoded, are the text."""
-    return {"round_trip": [m.decode(np.frombuffer(r, "<i4").tolist()).encode() == (t or b"") for r, t in zip(raw, texts)]}
-
-
-nothing.schema, round_trip.schema = "", ", round_trip boolean"
-
-
 def encode(docs: DataFrame, m: Model) -> DataFrame:
     """docs: doc_id, text; other columns are ignored.
 
@@ -528,7 +440,7 @@ def encode(docs: DataFrame, m: Model) -> DataFrame:
     empty text has no ids; repeated rows stay repeated; equal texts have equal
     ids; an empty table gives no rows.
     """
-    return _encoded(docs, m, nothing)
+    return _encoded(docs, m, False).select("doc_id", "text", "ids")
 
 
 def decode(encoded: DataFrame, m: Model) -> DataFrame:
@@ -543,7 +455,7 @@ def decode(encoded: DataFrame, m: Model) -> DataFrame:
 
 def sentencepiece(docs: DataFrame, path: str) -> DataFrame:
     """docs: doc_id, text.  doc_id, n_ids, ids, and round_trip: whether the ids decode to the text (a '▁' of the text itself decodes to a space)."""
-    return _encoded(docs, model(path), round_trip).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+    return _encoded(docs, model(path), True).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

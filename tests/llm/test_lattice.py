@@ -28,7 +28,6 @@ def test_like_the_library(spark, monkeypatch, most):
 
 
 def test_both_folds_agree(spark, monkeypatch):
-    monkeypatch.setattr(lattice, "CHUNK", 37)
     m = lattice.model(PATH)
     df = docs(spark, list(enumerate(TEXTS + prose(23, 40))))
     a = sorted(map(tuple, lattice.encoded_words(df, m).collect()))
