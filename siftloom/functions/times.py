@@ -60,36 +60,54 @@ def _day(text: Column, formats: tuple = ("d MMM yyyy", "d MMMM yyyy")) -> Column
     return F.coalesce(*(F.try_to_date(text, f) for f in formats))
 
 
+def _clock(t: Column) -> Column:
+    """struct(hour, minute, half) of a time of day as written: digits, then maybe minutes behind a colon or dot, then maybe a half of the day (a or p).  Null parts where there are none."""
+    number = F.regexp_extract(t, r"(?<!\d)(\d{1,2})(?!\d)", 1).try_cast("int")
+    minute = F.regexp_extract(t, r"(?<!\d)\d{1,2}[:.](\d\d)(?!\d)", 1)
+    half = F.lower(F.regexp_extract(t, r"(?i)(?<![a-z])([ap])[. ]{0,2}m(?![a-z])", 1))
+    return F.struct(number.alias("hour"), F.when(minute != "", minute).alias("minute"), F.when(half != "", half).alias("half"))
+
+
+def _hour24(hour: Column, half: Column, midnight: bool = True) -> Column:
+    """Of a 12-hour clock; an hour past noon stays, whatever half is said."""
+    late = F.when((half == "p") & (hour < 12), hour + 12)
+    return F.coalesce(late.when((half == "a") & (hour == 12), 0) if midnight else late, hour)
+
+
+def _stamp(day: Column, hour: Column, minute: Column) -> Column:
+    return F.concat(day, F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), minute)
+
+
 def written(date: Column, time: Column, offset: str) -> Column:
     """UTC of a date like '25th Sep 2025' and a time like '15:30 PM' (the hours count if they are past noon) at this offset."""
-    day = _day(F.trim(F.regexp_replace(date, r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")))
-    rule = r"(?i)(\d{1,2}):(\d{2})\s*([AP]M)?"
-    part = lambda n: F.regexp_extract(time, rule, n)
-    hour, half = part(1).try_cast("int"), F.upper(part(3))
-    hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-    stamp = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2))
-    return F.when(time.rlike(rule), utc(stamp, offset))
+    day = F.date_format(_day(F.trim(F.regexp_replace(date, r"(?i)(?<=\b\d{1,2})(?:st|nd|rd|th)\b", ""))), "yyyy-MM-dd")
+    # what stands from the first hour:minute on
+    at = F.regexp_extract(time, r"(?s)(?<!\w)(\d{1,2}:\d\d(?!\d).*)$", 1)
+    return F.when(at != "", let(_clock(F.regexp_replace(at, r"(?s)^(\S+\s*(?:[AaPp][Mm]\b)?).*$", "$1")), lambda c: utc(_stamp(day, _hour24(c["hour"], c["half"]), c["minute"]), offset)))
 
 
 def scheduled(header: Column, schedule: Column, offset: str) -> Column:
     """Start of an item from a header date dd-mm-yy and the first time of its schedule, in parts joined by ' | '.
 
-    The part of the day may stand at a later time of the same part ('2.00 - 3.00
-    p.m.').  Without any time it is the date alone; null if the date is none.
+    A time is hours with minutes, or hours with a half of the day.  The half may
+    stand at a later time of the same part ('2.00 - 3.00 p.m.').  Without any time
+    it is the date alone; null if the date is none.
     """
-    rule = r"(?i)(\d{1,2})(?:[.:](\d{2}))?\s*([ap])\.?\s*m\.?|(\d{1,2})[.:](\d{2})"
-    head = r"^(\d{2})-(\d{2})-(\d{2}|\d{4})$"
-    year = F.lpad(F.regexp_extract(header, head, 3), 4, "20")
-    day = F.date_format(F.try_to_date(F.concat_ws("-", year, F.regexp_extract(header, head, 2), F.regexp_extract(header, head, 1)), "yyyy-MM-dd"), "yyyy-MM-dd")
-    timed = F.filter(F.split(F.coalesce(schedule, F.lit("")), r" \| "), lambda x: x.rlike(rule))
-
-    def start(p: Column) -> Column:
-        first = F.regexp_extract(p, rule, 0)
-        pick = lambda a, b: F.when(F.regexp_extract(first, rule, a) != "", F.regexp_extract(first, rule, a)).otherwise(F.regexp_extract(first, rule, b))
-        half = F.lower(F.regexp_extract(p, r"(?i)\d\s*([ap])\.?\s*m\b", 1))
-        hour, minute = pick(1, 4).cast("int"), pick(2, 5)
-        hour = F.when((half == "p") & (hour < 12), hour + 12).otherwise(hour)
-        return utc(F.concat(day, F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.when(minute == "", "00").otherwise(minute)), offset)
+    numbers = F.split(F.trim(header), "-")
+    number = lambda i: F.get(numbers, F.lit(i))
+    plain = (F.size(numbers) == 3) & F.forall(numbers, lambda x: x.rlike("^[0-9]+$")) & (F.length(number(0)) == 2) & (F.length(number(1)) == 2) & F.length(number(2)).isin(2, 4)
+    day = F.date_format(F.try_to_date(F.when(plain, F.concat_ws("-", F.lpad(number(2), 4, "20"), number(1), number(0))), "yyyy-MM-dd"), "yyyy-MM-dd")
+    minutes, halved = r"\d{1,2}[:.]\d\d", r"(?i)\d{1,2}\s*[ap]\.?\s*m"
+    timed = F.filter(F.split(F.coalesce(schedule, F.lit("")), r" \| "), lambda x: x.rlike(minutes) | x.rlike(halved))
+
+    def start(part: Column) -> Column:
+        # from the first number on that is a time
+        begins = F.regexp_extract(part, r"(?is)(\d{1,2}(?:[:.]\d\d|\s*[ap]\.?\s*m).*)$", 1)
+        # the first half that a number stands before, wherever it is in the part
+        half = F.lower(F.regexp_extract(begins, r"(?i)\d\s*([ap])\.?\s*m", 1))
+        hour = F.regexp_extract(begins, r"^(\d+)", 1).try_cast("int")
+        minute = F.regexp_extract(begins, r"^\d+[:.](\d\d)", 1)
+        return utc(_stamp(day, _hour24(hour, half, midnight=False), F.when(minute == "", "00").otherwise(minute)), offset)
 
     return F.when(F.size(timed) == 0, day).otherwise(start(F.get(timed, F.lit(0))))
 

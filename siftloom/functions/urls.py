@@ -87,6 +87,22 @@ def canonical(href: Column, page: Column | None = None) -> Column:
     return let(raw, lambda r: let(_split(r), lambda s: let(_joined(s), _written)))
 
 
+def resolved(href: Column, page: Column) -> Column:
+    """The href against the page by RFC 3986, otherwise as it is: no key is dropped and nothing sorted."""
+    both = F.struct(F.trim(F.coalesce(href, F.lit(""))).alias("h"), F.coalesce(page, F.lit("")).alias("b"))
+
+    def written(s: Column) -> Column:
+        bare = (s["own"] == "") & (s["auth"] == "")
+        path_ = F.when(~bare, s["path"]).when(s["path"] == "", s["base_path"]).otherwise(_resolved_path(s["base_path"], s["path"]))
+        query = F.when(bare & (s["path"] == "") & ~s["asks"], s["base_query"]).otherwise(s["query"])
+        authority = F.when(bare, s["base_auth"]).otherwise(s["auth"])
+        scheme = F.when(s["own"] != "", s["own"]).otherwise(s["base"])
+        tail = lambda sign, c: F.when(c != "", F.concat(F.lit(sign), c)).otherwise("")
+        return F.concat(scheme, F.lit(":"), F.when(authority != "", F.concat(F.lit("//"), authority)).otherwise(""), path_, tail("?", query), tail("#", s["frag"]))
+
+    return let(both, lambda r: let(_split(r), written))
+
+
 def _split(r: Column) -> Column:
     """Scheme, and what follows it, of the href; the parts of the page."""
     h, b = r["h"], r["b"]

@@ -41,6 +41,14 @@ class Scope:
         if self.most_details < 0 or self.most_items < 0:
             raise ValueError("caps must not be negative")
 
+    @classmethod
+    def of(cls, settings: dict) -> "Scope":
+        """From a mapping; unknown keys are refused."""
+        unknown = sorted(set(settings) - set(cls.__dataclass_fields__))
+        if unknown:
+            raise ValueError(f"a scope has no {', '.join(unknown)}")
+        return cls(**settings)
+
 
 def scope(url: Column, s: Scope) -> Column:
     """struct(in_scope, reason) of a canonical URL.  Exclusions come before prefixes; an external URL that is allowed needs no prefix."""
@@ -117,11 +125,19 @@ def fetchable(label: Column) -> Column:
 def capped(candidates: DataFrame, s: Scope, url: str = "url", seq: str = "seq", by: tuple = ()) -> DataFrame:
     """candidates with in_scope and reason; of each group of by, in-scope URLs after the first most_items, by seq, turn out of scope.
 
-    The running count is taken over URLs in scope alone, so the window sorts only
-    these; without by it is one sequence, as one source is.
+    With by, a running count per group over URLs in scope alone.  Without, the
+    first most_items are found by a top-k and the place of the last of them is
+    compared, so nothing is sorted in one task.
     """
     df = candidates.withColumn("d", scope(F.col(url), s))
-    run = F.sum(F.col("d.in_scope").cast("int")).over(Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    df = df.withColumn("k", run)
-    over = F.col("d.in_scope") & (F.col("k") > s.most_items)
-    return df.withColumn("in_scope", F.col("d.in_scope") & ~over).withColumn("reason", F.when(over, f"over max_discovered_items ({s.most_items})").otherwise(F.col("d.reason"))).drop("d", "k")
+    if by:
+        run = F.sum(F.col("d.in_scope").cast("int")).over(Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        over = F.col("d.in_scope") & (run > s.most_items)
+    else:
+        place = F.struct(F.col(seq), F.col(url))
+        first = df.where("d.in_scope").orderBy(seq, url).limit(s.most_items)
+        last = first.agg(F.max(place).alias("_last"))
+        df = df.crossJoin(F.broadcast(last))  # one row
+        over = F.col("d.in_scope") & (F.col("_last").isNull() | (place > F.col("_last")))
+    df = df.withColumn("k", over)
+    return df.select(*candidates.columns, (F.col("d.in_scope") & ~F.col("k")).alias("in_scope"), F.when(F.col("k"), f"over max_discovered_items ({s.most_items})").otherwise(F.col("d.reason")).alias("reason"))

@@ -61,14 +61,22 @@ def errors(df: DataFrame) -> Column:
         mixed = dated != times.is_date(col("event_end"))
         both = col("event_start").isNotNull() & col("event_end").isNotNull()
         checks += [(both & mixed, "event_end: must be date-only exactly when event_start is"), (both & ~mixed & (col("event_end") < col("event_start")), "event_end: earlier than event_start")]
-    if "speakers" in kinds:
-        checks.append((F.exists("speakers", lambda s: s.isNull() | s.getField("name").isNull() | (s.getField("name") == "")), "speakers: name required"))
-    if "organizations" in kinds:
-        checks.append((F.exists("organizations", lambda o: o.isNull() | (o == "")), "organizations: expected non-empty str"))
+    last = []
     if "detail_fetch_status" in kinds:
-        checks.append((~F.coalesce(col("detail_fetch_status").isin(*schema.DETAIL_STATUS), F.lit(False)), "detail_fetch_status: expected one of ok, failed, not_attempted"))
-    said = [F.when(F.coalesce(bad, F.lit(False)), text if isinstance(text, Column) else F.lit(text)) for bad, text in checks]
-    return F.filter(F.array(*said), lambda x: x.isNotNull())
+        last.append((~F.coalesce(col("detail_fetch_status").isin(*schema.DETAIL_STATUS), F.lit(False)), "detail_fetch_status: expected one of ok, failed, not_attempted"))
+
+    def said(some: list) -> Column:
+        found = F.array(*(F.when(F.coalesce(bad, F.lit(False)), text if isinstance(text, Column) else F.lit(text)) for bad, text in some)).cast("array<string>")
+        return F.filter(found, lambda x: x.isNotNull())
+
+    # faults of list entries come with their places
+    place = lambda f, i, what: F.concat(F.lit(f"{f}["), i.cast("string"), F.lit(f"]{what}"))
+    lists = {
+        "speakers": lambda s, i: F.when(s.isNull(), place("speakers", i, ": expected name and affiliation")).when(F.coalesce(s.getField("name"), F.lit("")) == "", place("speakers", i, ".name: required str")),
+        "organizations": lambda o, i: F.when(F.coalesce(o, F.lit("")) == "", place("organizations", i, ": expected non-empty str")),
+    }
+    entries = [F.filter(F.transform(F.coalesce(col(f), F.array().cast(kinds[f])), fault), lambda x: x.isNotNull()) for f, fault in lists.items() if f in kinds]
+    return F.concat(said(checks), *entries, said(last))
 
 
 def content_hash(df: DataFrame) -> Column:
@@ -90,11 +98,13 @@ def last_of_each(batch: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
     return batch.groupBy(*key).agg(F.max_by(F.struct(*others), seq).alias("_r")).select(*key, *(F.col(f"_r.{c}").alias(c) for c in others))
 
 
-def merge(old: DataFrame, new: DataFrame, key: str, content: Sequence[str], now: str, digest, carry: Column | None = None, cutoff: str | None = None) -> DataFrame:
+def merge(old: DataFrame, new: DataFrame, key: str, content: Sequence[str], now: str, digest, carry: Column | None = None, cutoff: str | None = None, unparsed: str | None = None, extras: str | None = None) -> DataFrame:
     """The next state of a table: old rows that new doesn't have, and new rows, with state and rediscovered.
 
     content: columns that the hash is over.  A blank one of a new row keeps its old
-    value where carry holds (a missing value that the run can't vouch for).
+    value where carry holds (a missing value that the run can't vouch for), and
+    where the map unparsed of new names it (it was there and could not be read);
+    where carry holds the map extras gets its old entries too, new ones win.
     digest: DataFrame -> Column.  state is new, changed, unchanged or not_seen, by
     the hash after that; first_seen_at stays, last_seen_at is now for rows of new.
     rediscovered: last seen before cutoff.  One full join on the key.
@@ -108,15 +118,23 @@ def merge(old: DataFrame, new: DataFrame, key: str, content: Sequence[str], now:
 
     def value(c: str) -> Column:
         now_, before = F.col(f"_new.{c}"), F.col(f"_old.{c}") if c in stored else F.lit(None).cast(kinds[c])
-        if carry is not None and c in content:
-            now_ = F.when(known & F.coalesce(carry, F.lit(False)) & blank(now_, kinds[c]) & ~blank(before, kinds[c]), before).otherwise(now_)
+        held = F.coalesce(carry, F.lit(False)) if carry is not None else F.lit(False)
+        if unparsed is not None:
+            held = held | F.coalesce(F.array_contains(F.map_keys(F.col(f"_new.{unparsed}")), c), F.lit(False))
+        if (carry is not None or unparsed is not None) and c in content:
+            now_ = F.when(known & held & blank(now_, kinds[c]) & ~blank(before, kinds[c]), before).otherwise(now_)
+        if c == extras and carry is not None:
+            none = F.create_map().cast(kinds[c])
+            fresh_ = F.coalesce(now_, none)
+            old_ = F.map_filter(F.coalesce(before, none), lambda k, _: ~F.map_contains_key(fresh_, k))
+            now_ = F.when(known & F.coalesce(carry, F.lit(False)), F.map_concat(old_, fresh_)).otherwise(now_)
         return F.when(fresh, now_).otherwise(before).alias(c)
 
     out = j.select(F.coalesce(F.col(key), F.col("_key")).alias(key), *(value(c) for c in new.columns if c != key), fresh.alias("_fresh"), known.alias("_known"), F.col("_old.content_hash").alias("_hash"), F.col("_old.first_seen_at").alias("_first"), F.col("_old.last_seen_at").alias("_last"))
     out = out.withColumn("content_hash", F.when(F.col("_fresh"), digest(out)).otherwise(F.col("_hash")))
     state = F.when(~F.col("_fresh"), "not_seen").when(~F.col("_known"), "new").when(F.col("_hash") == F.col("content_hash"), "unchanged").otherwise("changed")
     back = F.col("_fresh") & F.col("_known") & F.coalesce(F.col("_last") < F.lit(cutoff), F.lit(False))
-    return out.select(*new.columns, "content_hash", F.coalesce("_first", F.lit(now)).alias("first_seen_at"), F.when(F.col("_fresh"), F.lit(now)).otherwise(F.col("_last")).alias("last_seen_at"), state.alias("state"), back.alias("rediscovered"))
+    return out.select(*(c for c in new.columns if c != unparsed), "content_hash", F.coalesce("_first", F.lit(now)).alias("first_seen_at"), F.when(F.col("_fresh"), F.lit(now)).otherwise(F.col("_last")).alias("last_seen_at"), state.alias("state"), back.alias("rediscovered"))
 
 
 def carry_rule(detail_status: str = "_new.detail_fetch_status") -> Column:
@@ -142,14 +160,28 @@ def upsert_links(old: DataFrame, new: DataFrame, keys: Sequence[str], replaced:
     return kept.unionByName(new.dropDuplicates(list(keys)).join(kept.select(*keys), list(keys), "left_anti"))
 
 
+def numbered(df: DataFrame, *order: str, first: int = 1, name: str = "id") -> DataFrame:
+    """df with numbers from first on by order, and no task that sees all rows: ranges of the order are counted, then each is numbered from what stands before it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for is not coalesced
+    # kept, as the borders of ranges come from a sample that differs from job to job
+    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_at", 33)
+    sizes = [(r[0], r[1]) for r in parts.groupBy(part.alias("p")).count().orderBy("p").collect()]  # one row for each partition
+    starts, total = [], first
+    for p, size in sizes:
+        starts.append((p, total))
+        total += size
+    t = df.sparkSession.createDataFrame(starts, "_p long, _start long")
+    return parts.join(F.broadcast(t), part == F.col("_p")).withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_start")
+
+
 def first_forms(dimension: DataFrame, mentions: DataFrame, key: str = "normalized_name", seq: str = "seq") -> DataFrame:
     """dimension (id, key, ...) with the first form of each key of mentions that it lacks; ids go on by seq."""
     others = [c for c in dimension.columns if c not in ("id", key)]
     new = mentions.where(F.col(key) != "").groupBy(key).agg(F.min_by(F.struct(*others), seq).alias("_f"), F.min(seq).alias("_s")).join(dimension.select(key), key, "left_anti")
-    top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    # new names only, and one row of _top
-    new = new.withColumn("_n", F.row_number().over(Window.orderBy("_s", key))).join(F.broadcast(top), F.lit(True))
-    return dimension.unionByName(new.select((F.col("_top") + F.col("_n")).cast(dimension.schema["id"].dataType).alias("id"), key, *(F.col(f"_f.{c}").alias(c) for c in others)))
+    top = dimension.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(new, "_s", key, first=top + 1)
+    return dimension.unionByName(new.select(F.col("id").cast(dimension.schema["id"].dataType), key, *(F.col(f"_f.{c}").alias(c) for c in others)))
 
 
 def orphans(links: DataFrame, records: DataFrame, key: str = "item_url") -> DataFrame:
@@ -159,3 +191,11 @@ def orphans(links: DataFrame, records: DataFrame, key: str = "item_url") -> Data
 
 def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def stored(old: DataFrame, batch: DataFrame, key: str, content: Sequence[str], now: str, missing: str = "None") -> DataFrame:
+    """Items of the first kind of sink against what is stored: key and state (new, known, updated; skipped without a key), by the hash of content."""
+    keyed = batch.withColumn("_h", legacy_hash(*(F.col(c) for c in content), missing=missing))
+    j = keyed.join(old.select(F.col(key).alias("_k"), F.col("content_hash").alias("_old")), F.col(key) == F.col("_k"), "left")
+    state = F.when(F.coalesce(F.col(key), F.lit("")) == "", "skipped").when(F.col("_k").isNull(), "new").when(F.col("_h") == F.col("_old"), "known").otherwise("updated")
+    return j.select(*batch.columns, F.col("_h").alias("content_hash"), state.alias("state"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import logging
 import time
 from contextlib import contextmanager
 
@@ -25,18 +25,38 @@ def stage_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id").agg(F.count("*").alias("events"), F.count_if(failed).alias("failures"), F.count_if(F.col("stage") == "END").alias("ended"))
 
 
+def entries(run_id: str, *events: tuple[str, dict]) -> list[tuple]:
+    """(run_id, seq, stage, fields) rows of a run's events, in order; a stage that isn't known is refused."""
+    bad = sorted({s for s, _ in events} - set(STAGES))
+    if bad:
+        raise ValueError(f"unknown stages {bad}")
+    return [(run_id, i, s, {k: None if v is None else str(v) for k, v in f.items()}) for i, (s, f) in enumerate(events)]
+
+
+def set_up(level: int = logging.INFO, name: str = "siftloom", stream=None) -> logging.Logger:
+    """The driver's logger: one handler however often this is called, 'time [LEVEL] logger=name message'."""
+    logger = logging.getLogger(name)
+    if not any(getattr(h, "siftloom", False) for h in logger.handlers):
+        h = logging.StreamHandler(stream)
+        h.siftloom = True
+        f = logging.Formatter("%(asctime)s [%(levelname)s] logger=%(name)s %(message)s", "%Y-%m-%dT%H:%M:%SZ")
+        f.converter = time.gmtime
+        h.setFormatter(f)
+        logger.addHandler(h)
+        logger.propagate = False
+    logger.setLevel(level)
+    return logger
+
+
 @contextmanager
 def lock(path: str, stale_s: float = 7200.0):
-    """One run of a source at a time, by a file on the driver that only its owner removes; one older than stale_s is taken over."""
-    try:
-        if time.time() - os.stat(path).st_mtime > stale_s:
-            os.unlink(path)
-    except FileNotFoundError:
-        pass
-    held = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    """One run of a source at a time: scheduler.Lock as a context; FileExistsError while another holds it."""
+    from .scheduler import Lock
+
+    held = Lock(path, stale_s)
+    if not held.acquire():
+        raise FileExistsError(path)
     try:
-        os.write(held, str(os.getpid()).encode())
         yield
     finally:
-        os.close(held)
-        os.unlink(path)
+        held.release()

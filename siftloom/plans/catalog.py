@@ -26,10 +26,14 @@ def registered(sql: str | None):
 
 
 def queries() -> dict:
+    from . import lifecycle  # noqa: F401  registers its own
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import lifecycle  # noqa: F401
+
     return dict(SQL)
 
 
@@ -260,7 +264,7 @@ def last_of_each_key(spark, sf_dir):
 
 @registered(
     """SELECT doc_id, array_to_string(list_filter([CASE WHEN source IS NULL OR source = '' THEN 'title: required' END, CASE WHEN doc_id % 4 = 1 THEN 'event_start: expected ISO 8601 UTC ''YYYY-MM-DDTHH:MM:SSZ'' or date-only ''YYYY-MM-DD'', got ''2024-02-30''' END,
-     CASE WHEN doc_id % 4 = 2 THEN 'timezone: required when event_start is date-only (it is a local calendar date)' END, CASE WHEN doc_id % 4 = 3 THEN 'event_end: earlier than event_start' END, CASE WHEN doc_id % 5 = 0 THEN 'organizations: expected non-empty str' END, CASE WHEN doc_id % 7 = 0 THEN 'detail_fetch_status: expected one of ok, failed, not_attempted' END], lambda x: x IS NOT NULL), '; ') AS errors FROM documents"""
+     CASE WHEN doc_id % 4 = 2 THEN 'timezone: required when event_start is date-only (it is a local calendar date)' END, CASE WHEN doc_id % 4 = 3 THEN 'event_end: earlier than event_start' END, CASE WHEN doc_id % 5 = 0 THEN 'organizations[0]: expected non-empty str' END, CASE WHEN doc_id % 7 = 0 THEN 'detail_fetch_status: expected one of ok, failed, not_attempted' END], lambda x: x IS NOT NULL), '; ') AS errors FROM documents"""
 )
 def record_errors(spark, sf_dir):
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
@@ -334,7 +338,7 @@ def entity_dimension(spark, sf_dir):
     return records.first_forms(d, m)
 
 
-_NAMES = [(1, "Dr. Ananya Rao"), (2, "A. Rao"), (3, "Ananya R."), (4, "ananya rao"), (5, "Ananya Priya Rao"), (6, "Prof. A. P. Rao"), (7, "B. Rao"), (8, "Bela Rao"), (9, "A. R.")]
+_NAMES = [(1, "Dr. Mira Lund"), (2, "M. Lund"), (3, "Mira L."), (4, "mira lund"), (5, "Mira Tove Lund"), (6, "Prof. M. T. Lund"), (7, "B. Lund"), (8, "Bodil Lund"), (9, "M. L.")]
 
 
 @registered("SELECT * FROM (VALUES (1, 2), (1, 3), (2, 4), (3, 4), (5, 6), (7, 8)) t(a_id, b_id)")
@@ -342,56 +346,53 @@ def person_review_pairs(spark, sf_dir):
     return matching.person_pairs(spark.createDataFrame(_NAMES, "id int, name string")).select("a_id", "b_id")
 
 
-@registered("WITH p AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part WHERE p_partkey <= 400) SELECT x.id AS a_id, y.id AS b_id FROM p x JOIN p y ON x.a = y.a AND x.id < y.id AND left(x.b, 1) = y.b AND x.b <> y.b")
-def part_review_pairs(spark, sf_dir):
-    """A part name's initials against whole names: built from part so the join meets many keys; empty where names have no such pairs."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("name"))
-    a = matching.person_pairs(p, text.ascii_key)
-    return a.where(F.length(F.split_part("b_name", F.lit(" "), F.lit(2))) == 1).select("a_id", "b_id")
+_PART_NAMES = """n AS (SELECT name, min(p_partkey) AS id FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN split_part(p_name, ' ', 1) || ' ' || left(split_part(p_name, ' ', 2), 1) ELSE p_name END AS name FROM part) GROUP BY name),
+   p AS (SELECT id, name, split_part(name, ' ', 1) AS a, split_part(name, ' ', 2) AS b FROM n)"""
+_PART_PAIRS = "SELECT least(x.id, y.id) AS a_id, greatest(x.id, y.id) AS b_id FROM p x JOIN p y ON x.a = y.a AND length(x.b) = 1 AND length(y.b) > 1 AND left(y.b, 1) = x.b"
 
 
-@registered("WITH p AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT x.id AS a_id, y.id AS b_id FROM p x JOIN p y ON x.a = y.a AND x.id < y.id AND left(x.b, 1) = y.b AND x.b <> y.b")
-def part_review_pairs_whole(spark, sf_dir):
-    """part_review_pairs over all parts: distinct names meet, then the parts that bear them."""
-    two = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), two.alias("name"))
-    n = matching.person_pairs(p.groupBy("name").agg(F.min("id").alias("id")), text.ascii_key)
-    n = n.select("a_name", "b_name").unionByName(n.select(F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name")))
-    n = n.where(F.length(F.split_part("b_name", F.lit(" "), F.lit(2))) == 1)
-    a, b = p.select(F.col("id").alias("a_id"), F.col("name").alias("a_name")), p.select(F.col("id").alias("b_id"), F.col("name").alias("b_name"))
-    return n.join(a, "a_name").join(b, "b_name").where("a_id < b_id").select("a_id", "b_id")
+def _part_names(spark, sf_dir):
+    """id and name: every name of a part, every fifth part with an initial for its second word; the least id of a name."""
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat_ws(" ", first, F.substring(second, 1, 1))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").groupBy(name.alias("name")).agg(F.min("p_partkey").alias("id"))
+
+
+@registered(f"WITH {_PART_NAMES} {_PART_PAIRS}")
+def part_review_pairs(spark, sf_dir):
+    return matching.person_pairs(_part_names(spark, sf_dir), text.ascii_key).select("a_id", "b_id")
 
 
 @registered("SELECT * FROM (VALUES (1, 2)) t(a_id, b_id)")
 def organisation_review_pairs(spark, sf_dir):
-    rows = [(1, "Center for Policy Research"), (2, "Centre for Policy Research (CPR)"), (3, "CPR"), (4, "Centre for policy research."), (5, "School of Policy")]
+    rows = [(1, "Center for Tidal Studies"), (2, "Centre for Tidal Studies (CTS)"), (3, "CTS"), (4, "Centre for tidal studies."), (5, "School of Tides")]
     return matching.organisation_pairs(spark.createDataFrame(rows, "id int, name string").where("id <> 4")).select("a_id", "b_id")
 
 
-@registered("SELECT * FROM (VALUES ('Dr. A. Rao and Prof B. Sen', 0, 'Dr. A. Rao'), ('Dr. A. Rao and Prof B. Sen', 1, 'Prof B. Sen'), ('Dr. A. Rao, Centre for X and Y', 0, 'Dr. A. Rao, Centre for X and Y'), ('Dr. A. Rao, X; Prof. C', 0, 'Dr. A. Rao, X'), ('Dr. A. Rao, X; Prof. C', 1, 'Prof. C'), ('A & B', 0, 'A'), ('A & B', 1, 'B')) t(value, pos, one)")
+@registered("SELECT * FROM (VALUES ('Dr. M. Lund and Prof B. Holt', 0, 'Dr. M. Lund'), ('Dr. M. Lund and Prof B. Holt', 1, 'Prof B. Holt'), ('Dr. M. Lund, Centre for X and Y', 0, 'Dr. M. Lund, Centre for X and Y'), ('Dr. M. Lund, X; Prof. C', 0, 'Dr. M. Lund, X'), ('Dr. M. Lund, X; Prof. C', 1, 'Prof. C'), ('A & B', 0, 'A'), ('A & B', 1, 'B')) t(value, pos, one)")
 def split_people(spark, sf_dir):
-    rows = [(x,) for x in ("Dr. A. Rao and Prof B. Sen", "Dr. A. Rao, Centre for X and Y", "Dr. A. Rao, X; Prof. C", "A & B")]
+    rows = [(x,) for x in ("Dr. M. Lund and Prof B. Holt", "Dr. M. Lund, Centre for X and Y", "Dr. M. Lund, X; Prof. C", "A & B")]
     return spark.createDataFrame(rows, "value string").select("value", F.posexplode(text.people(F.col("value"))).alias("pos", "one"))
 
 
-@registered("SELECT * FROM (VALUES ('Prof. Dr. Joachim Kopp, Mainz (mail a@b.de)', 'Joachim Kopp', 'Prof. Dr.', 'Mainz (mail )'), ('Matthew (Mat) Collins, Head', 'Matthew (Mat) Collins', NULL, 'Head'), ('Michael L. Klein FRS Laura Professor', 'Michael L. Klein', NULL, 'FRS Laura Professor'), ('A. Rao - IITB', 'A. Rao', NULL, 'IITB'), ('123', NULL, NULL, NULL), ('Shrinivas Rao', 'Shrinivas Rao', NULL, NULL)) t(one, name, honorific, affiliation)")
+@registered("SELECT * FROM (VALUES ('Prof. Dr. Tomas Vik, Bergen (mail a@b.de)', 'Tomas Vik', 'Prof. Dr.', 'Bergen (mail )'), ('Katharine (Kat) Moor, Head', 'Katharine (Kat) Moor', NULL, 'Head'), ('Elin P. Strand FRS Harbour Professor', 'Elin P. Strand', NULL, 'FRS Harbour Professor'), ('M. Lund - NTX', 'M. Lund', NULL, 'NTX'), ('123', NULL, NULL, NULL), ('Shriver Rao', 'Shriver Rao', NULL, NULL)) t(one, name, honorific, affiliation)")
 def parse_person(spark, sf_dir):
-    rows = [(x,) for x in ("Prof. Dr. Joachim Kopp, Mainz (mail a@b.de)", "Matthew (Mat) Collins, Head", "Michael L. Klein FRS Laura Professor", "A. Rao - IITB", "123", "Shrinivas Rao")]
+    rows = [(x,) for x in ("Prof. Dr. Tomas Vik, Bergen (mail a@b.de)", "Katharine (Kat) Moor, Head", "Elin P. Strand FRS Harbour Professor", "M. Lund - NTX", "123", "Shriver Rao")]
     df = spark.createDataFrame(rows, "one string").withColumn("p", text.person(F.col("one")))
     return df.select("one", "p.name", "p.honorific", "p.affiliation")
 
 
-@registered("SELECT * FROM (VALUES ('Department of Science and Technology', 0, 'Department of Science and Technology', NULL, NULL, 'department'), ('Centre for Policy Research (CPR), Delhi and School of Law', 0, 'Centre for Policy Research', 'Delhi', 'CPR', 'centre'), ('Centre for Policy Research (CPR), Delhi and School of Law', 1, 'School of Law', NULL, NULL, 'school'), ('IITB', 0, 'IITB', NULL, NULL, NULL)) t(value, pos, name, parent, acronym, org_type)")
+@registered("SELECT * FROM (VALUES ('Department of Ports and Harbours', 0, 'Department of Ports and Harbours', NULL, NULL, 'department'), ('Centre for Tidal Studies (CTS), Oslo and School of Law', 0, 'Centre for Tidal Studies', 'Oslo', 'CTS', 'centre'), ('Centre for Tidal Studies (CTS), Oslo and School of Law', 1, 'School of Law', NULL, NULL, 'school'), ('NTX', 0, 'NTX', NULL, NULL, NULL)) t(value, pos, name, parent, acronym, org_type)")
 def parse_organisations(spark, sf_dir):
-    rows = [(x,) for x in ("Department of Science and Technology", "Centre for Policy Research (CPR), Delhi and School of Law", "IITB")]
+    rows = [(x,) for x in ("Department of Ports and Harbours", "Centre for Tidal Studies (CTS), Oslo and School of Law", "NTX")]
     o = spark.createDataFrame(rows, "value string").select("value", F.posexplode(text.organisations(F.col("value"))).alias("pos", "one")).withColumn("o", text.organisation(F.col("one")))
     return o.select("value", "pos", "o.name", "o.parent", "o.acronym", "o.org_type")
 
 
-@registered("SELECT * FROM (VALUES ('person', 'u', 'ananya rao', 'speaker', 'Speaker: Dr. Ananya Rao, X'), ('person', 'u', 'c d', 'organizer', 'Organized by: Prof. C. D.'), ('organisation', 'u', 'centre for policy research', 'organizer', 'Organized by: Centre for Policy Research (CPR)'), ('organisation', 'v', 'cpr', 'organizer', 'Organized by: CPR')) t(kind, item_url, normalized_name, role, source_text)")
+@registered("SELECT * FROM (VALUES ('person', 'u', 'mira lund', 'speaker', 'Speaker: Dr. Mira Lund, X'), ('person', 'u', 'c d', 'organizer', 'Organized by: Prof. C. D.'), ('organisation', 'u', 'centre for tidal studies', 'organizer', 'Organized by: Centre for Tidal Studies (CTS)'), ('organisation', 'v', 'cts', 'organizer', 'Organized by: CTS')) t(kind, item_url, normalized_name, role, source_text)")
 def extracted_mentions(spark, sf_dir):
-    page = "<div><p>Speaker: Dr. Ananya Rao, X</p><p>About the Speaker: Dr. Z Z</p><ul><li>Speakers: Ananya  Rao</ul><p>Organized by: Centre for Policy Research (CPR)</p><p>Organized by: CPR</p><p>Organized by: Prof. C. D.</p></div>"
-    pages = spark.createDataFrame([("u", page), ("v", "<p>Organized by: CPR</p>")], "item_url string, html string")
+    page = "<div><p>Speaker: Dr. Mira Lund, X</p><p>About the Speaker: Dr. Q Q</p><ul><li>Speakers: Mira  Lund</ul><p>Organized by: Centre for Tidal Studies (CTS)</p><p>Organized by: CTS</p><p>Organized by: Prof. C. D.</p></div>"
+    pages = spark.createDataFrame([("u", page), ("v", "<p>Organized by: CTS</p>")], "item_url string, html string")
     hits = matching.labelled(html.lines(pages), {"speaker": ["Speaker", "Speakers"], "organizer": ["Organized by"]})
     p, o = matching.mentions(hits)
     cols = ["item_url", "normalized_name", "role", "source_text"]
@@ -440,17 +441,27 @@ def run_history(spark, sf_dir):
     return runs.history(_runs(spark, sf_dir))
 
 
+_WEAK = _RUNS + """, weak AS (SELECT run_id, source_id, started_at, status, items_parsed, CASE WHEN right(started_at, 2)::INT % 5 = 0 THEN items_discovered // 3 ELSE items_discovered END AS items_discovered,
+   CASE WHEN right(started_at, 2)::INT % 5 = 0 THEN 10.0 ELSE 60.0 END AS pct_with_date FROM runs)"""
+
+
+def _weak_runs(spark, sf_dir):
+    weak = F.substring("started_at", -2, 2).cast("int") % 5 == 0
+    pct = F.when(weak, 10.0).otherwise(60.0)
+    return _runs(spark, sf_dir).withColumn("items_discovered", F.when(weak, F.expr("items_discovered div 3")).otherwise(F.col("items_discovered"))).withColumn("pct_with_date", pct).withColumn("pct_with_speaker", pct)
+
+
 @registered(
-    f"""WITH {_RUNS}, s AS (SELECT *, lag(pct_with_date) OVER w AS p, lag(items_parsed) OVER w AS pp FROM runs WHERE status = 'success' WINDOW w AS (PARTITION BY source_id ORDER BY started_at))
+    f"""WITH {_WEAK}, s AS (SELECT *, lag(pct_with_date) OVER w AS p, lag(items_parsed) OVER w AS pp FROM weak WHERE status = 'success' WINDOW w AS (PARTITION BY source_id ORDER BY started_at))
    SELECT run_id, source_id, m AS metric, p AS previous, pct_with_date AS now FROM s, (VALUES ('pct_with_date'), ('pct_with_speaker')) t(m) WHERE items_parsed > 0 AND pp > 0 AND p - pct_with_date >= 30"""
 )
 def coverage_drops(spark, sf_dir):
-    return runs.coverage_drops(_runs(spark, sf_dir))
+    return runs.coverage_drops(_weak_runs(spark, sf_dir))
 
 
-@registered(f"WITH {_RUNS}, s AS (SELECT *, lag(items_discovered) OVER (PARTITION BY source_id ORDER BY started_at) AS p FROM runs WHERE status = 'success') SELECT run_id, source_id, p AS previous, items_discovered AS now FROM s WHERE p >= 10 AND items_discovered <= p * 0.5")
+@registered(f"WITH {_WEAK}, s AS (SELECT *, lag(items_discovered) OVER (PARTITION BY source_id ORDER BY started_at) AS p FROM weak WHERE status = 'success') SELECT run_id, source_id, p AS previous, items_discovered AS now FROM s WHERE p >= 10 AND items_discovered <= p * 0.5")
 def discovery_drops(spark, sf_dir):
-    return runs.discovery_drops(_runs(spark, sf_dir))
+    return runs.discovery_drops(_weak_runs(spark, sf_dir))
 
 
 @registered("SELECT * FROM (VALUES (0, 1440.0), (1, 60.0), (2, 120.0), (3, 240.0), (4, 480.0), (5, 960.0), (6, 1440.0), (7, 1440.0)) t(failures, wait)")
@@ -477,17 +488,8 @@ def gap_stats(spark, sf_dir):
     return runs.gaps(o, "k", "o_orderdate")
 
 
-@registered("WITH c AS (SELECT unnest(generate_series(date_trunc('month', (SELECT min(o_orderdate) FROM orders)), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 MONTH)) AS m) SELECT strftime(m, '%Y-%m') AS month, count(o_orderkey) AS n FROM c LEFT JOIN orders ON date_trunc('month', o_orderdate) = m AND o_orderkey % 400 = 1 GROUP BY m")
-def monthly_counts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    span = o.agg(F.min(F.trunc("o_orderdate", "month")).alias("a"), F.max(F.trunc("o_orderdate", "month")).alias("b"))
-    months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
-    n = o.where("o_orderkey % 400 = 1").groupBy(F.trunc("o_orderdate", "month").alias("k")).agg(F.count("*").alias("n"))
-    return months.join(n, F.col("m") == F.col("k"), "left").select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @registered("WITH c AS (SELECT unnest(generate_series(date_trunc('month', (SELECT min(o_orderdate) FROM orders)), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 MONTH)) AS m) SELECT strftime(m, '%Y-%m') AS month, count(o_orderkey) AS n FROM c LEFT JOIN orders ON date_trunc('month', o_orderdate) = m GROUP BY m")
-def monthly_counts_whole(spark, sf_dir):
+def monthly_counts(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     span = o.agg(F.min(F.trunc("o_orderdate", "month")).alias("a"), F.max(F.trunc("o_orderdate", "month")).alias("b"))
     months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
@@ -543,14 +545,8 @@ def first_dates(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in ("2025-03-04", "4 Mar 2025", "14 March 2025", "4/3/2025", "2025-13-01", "")], "raw string").select("raw", times.first_date(F.col("raw")).alias("day"))
 
 
-@registered("SELECT event_id, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events WHERE event_id % 3 = 0")
-def relabelled_times(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
-    return e.select("event_id", times.relabelled(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "+05:30").alias("utc"))
-
-
 @registered("SELECT event_id, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events")
-def relabelled_times_whole(spark, sf_dir):
+def relabelled_times(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", times.relabelled(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "+05:30").alias("utc"))
 

@@ -196,7 +196,7 @@ def lines(pages: DataFrame) -> DataFrame:
 
 
 def fields(pages: DataFrame, selectors: dict[str, str], attributes: dict[str, str] | None = None) -> DataFrame:
-    """pages: item_url, html.  A column for each selector: the text of the first that fits, or the attribute named for it."""
+    """pages: item_url, html.  A column for each selector: the text of the first that fits, or the attribute named for it; * for its tag, where only its being there counts."""
     attributes = attributes or {}
     schema = "struct<" + ",".join(f"{k}:string" for k in selectors) + ">"
 
@@ -208,7 +208,7 @@ def fields(pages: DataFrame, selectors: dict[str, str], attributes: dict[str, st
                 root, row = Tree(h).root, {}
                 for k, sel in selectors.items():
                     n = next(iter(select(root, sel)), None)
-                    row[k] = None if n is None else (n.attrs.get(attributes[k]) if k in attributes else flat(n.text())) or None
+                    row[k] = None if n is None else (n.tag if attributes.get(k) == "*" else n.attrs.get(attributes[k]) if k in attributes else flat(n.text())) or None
                 rows.append(row)
             yield pd.DataFrame(rows, columns=list(selectors))
 
