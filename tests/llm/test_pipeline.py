@@ -4,7 +4,7 @@ from collections import Counter
 import corpus_pipeline
 from siftloom.llm import mixing, simhash
 from helpers import EDGE, docs, prose
-from test_simhash import plain_components, plain_fingerprint
+from test_near_copies import plain_groups
 from test_substrings import plain
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,16 +41,19 @@ def test_stages_against_brute_force(spark, tmp_path):
             ids = [r.doc_id for r in after if r.doc_id is not None]
             assert sum(i < n_good for i in set(ids)) > 0.95 * n_good and sum(n_good <= i < 5000 for i in ids) < 3
         elif k == 1:
-            fps = {b: plain_fingerprint(b[1]) for b in before}
-            root = plain_components(list(fps.values()), 4)
+            # the stage takes five words and a similarity of 0.8, as its contract says, not the fingerprints of op3
+            root = plain_groups([b[1] for b in before])
             groups = {}
-            for b in before:
-                groups.setdefault(root[fps[b]], []).append(b)
-            left = Counter(root[plain_fingerprint(r.text)] for r in after)
-            assert set(left) == set(groups) and set(left.values()) == {1}
+            for b, g in zip(before, root):
+                groups.setdefault(g, []).append(b)
+            left = Counter()
             for r in after:
-                ids = [b[0] for b in groups[root[plain_fingerprint(r.text)]] if b[0] is not None]
+                mine = [g for g, members in groups.items() if r.text in [b[1] for b in members]]
+                assert len(mine) == 1
+                ids = [b[0] for b in groups[mine[0]] if b[0] is not None]
                 assert r.doc_id == (min(ids) if ids else None)
+                left[mine[0]] += 1
+            assert set(left) == set(groups) and set(left.values()) == {1}
         elif k == 2:
             want = plain([b[1] for b in before], 35)
             have = {r.doc_id: r for r in after}
