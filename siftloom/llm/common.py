@@ -7,11 +7,14 @@ these six, so words are taken from UTF-8 bytes.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="siftloom-")
         shared_dir.own = base
-    return f"{base.rstrip('/')}/siftloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/siftloom-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def _sweep() -> None:
+    """Removes this driver's folders when it ends with its session still there; results are read lazily, so not before."""
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jsc is None:
+        return
+    try:
+        conf = sc._jsc.hadoopConfiguration()
+        for path in _made:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except (Py4JError, OSError):
+        pass  # the session went meanwhile
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
