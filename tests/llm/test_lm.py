@@ -106,3 +106,34 @@ def test_no_training_texts_and_no_texts(spark):
     got = lm.score(df).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got) and len(got) == 2
     assert lm.score(docs(spark, []).withColumn("train", F.lit(True))).count() == 0
+
+
+def test_pairs_outside_the_list_have_counts_of_their_own(spark):
+    """Words that are always followed by one word each, with a list that holds almost none of them."""
+    r = random.Random(23)
+    follow = r.sample(range(200), 200)
+    texts = []
+    for _ in range(300):
+        w, out = r.randrange(200), []
+        for _ in range(30):
+            out.append(f"w{w}")
+            w = follow[w] if r.random() < 0.9 else r.randrange(200)
+        texts.append(" ".join(out))
+    df = docs(spark, list(enumerate(texts))).withColumn("train", F.col("doc_id") % 5 != 0)
+    for hot, top in ((4, 100), (0, 4)):
+        ppl = {x.train: x for x in lm.perplexity(lm.score(df, hot=hot, top=top, chars=2)).collect()}
+        assert ppl[False].perplexity < 10 < 100 < ppl[False].base_perplexity, (hot, top)
+
+
+@pytest.mark.parametrize("hot,top", [(3, 20), (3, 5)])
+def test_next_word_probabilities_sum_to_at_most_one(spark, hot, top):
+    """Texts of one word more: the difference of the scores is what that word and the end have."""
+    texts = ["a b c d a b", "b c a e f", "a c g h", "c c b a", "d e f g"]
+    words = sorted({w for t in texts for w in t.split()})
+    rows = [(i, t, True) for i, t in enumerate(texts)]
+    rows += [(100 + i, f"{u} {w}", False) for i, (u, w) in enumerate((u, w) for u in words for w in words)]
+    rows += [(1000 + i, w, False) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {x.doc_id: 10**x.score for x in lm.score(df, hot=hot, top=top).collect()}
+    # of a start: each word with the end, and each two words with the end
+    assert 0.05 < sum(got[i] for i in got if i >= 100) <= 1.001
