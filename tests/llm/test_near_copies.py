@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from siftloom.llm import near_copies, simhash
+from siftloom.llm import common, components, near_copies, simhash
 from helpers import EDGE, docs, prose
 
 
@@ -45,3 +47,45 @@ def test_edge_cases(spark):
     got = [r.doc_id for r in near_copies.one_of_each(docs(spark, EDGE + [(None, "null id has words too"), (None, None)])).collect()]
     assert sorted(got, key=str) == sorted([1, 4, 6, 7, 8, None], key=str)
     assert near_copies.one_of_each(docs(spark, [])).count() == 0
+
+
+def test_fingerprints_are_simhashes_of_shingle_sets():
+    s = near_copies.shingles(b"a b c d e f g h i a b c d e f", 5)
+    got = np.unpackbits(np.frombuffer(near_copies.fingerprint(s, 4), np.uint8))
+    votes = near_copies.hashed(s, 4).astype(int)
+    assert got.tolist() == [int(2 * v.sum() > len(s) or (2 * v.sum() == len(s) and v[0] == 1)) for v in votes.T]
+
+
+def test_groups_are_searched_whole_and_in_parts(spark, monkeypatch):
+    r = random.Random(8)
+    texts = prose(8, 20, words=60)
+    texts += [near(r, t, r.choice([1, 2, 4, 8])) for t in texts for _ in range(4)]
+    texts = list({near_copies.key(t.encode()): t for t in texts}.values())
+    root = plain_groups(texts)
+    s = [near_copies.shingles(t.encode(), 5) for t in texts]
+    want = [root.index(g) for g in root]
+    assert near_copies.similar(s, 0.8).tolist() == want
+    df, t = docs(spark, list(enumerate(texts))), [near_copies.key(x.encode()) for x in texts]
+    members = spark.createDataFrame([(x, 7) for x in t], "node long, root long")  # one component of candidates
+    monkeypatch.setattr(near_copies, "GROUP_BYTES", sum(8 * len(x) for x in s) // 5)
+    links = near_copies.verified(members, df, 5, 0.8)
+    root = {x: x for x in t}
+    root |= {x.node: x.root for x in components.components(links).collect()}
+    assert [[root[x] == root[y] for y in t] for x in t] == [[x == y for y in want] for x in want]
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = [near(r, " ".join(base), 6) for _ in range(400)]  # near to the least text or to each other at about 0.7
+    most, kept = [], common.kept
+
+    def counted(df, name):
+        out = kept(df, name)
+        most.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(common, "kept", counted)
+    got = near_copies.one_of_each(docs(spark, list(enumerate(texts)))).collect()
+    assert len(got) == len(set(plain_groups(texts)))
+    assert max(most)[0] <= 20 * len(texts), max(most)
