@@ -93,3 +93,21 @@ def test_viterbi_against_all_paths(spark):
 
 def test_empty_table(spark):
     assert lattice.sentencepiece(docs(spark, []), PATH).count() == 0
+
+
+def test_substrings_meet_pieces_by_a_long(spark):
+    m = lattice.model(PATH)
+    words = lattice.distinct_words(docs(spark, [(1, "a b")]), spark.sparkContext.broadcast(m))
+    plan = lattice.lattice(words, m)._jdf.queryExecution().sparkPlan().toString()
+    join = next(x for x in plan.splitlines() if "Join" in x)
+    assert "[h#" in join and "[piece#" not in join, join
+
+
+def test_pieces_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lattice.F, "xxhash64", lambda c: lattice.F.lit(7).cast("long"))
+    m = lattice.model(PATH)
+    m = lattice.Model.of_pieces([x for x in m.pieces if len(x[0]) < 3][:300], m.byte_ids, False)
+    words = spark.createDataFrame([(w, 1) for w in ["▁the", "▁in", "▁", "▁xyz"]], "word string, c long")
+    got = {r.word: sorted(r.edges) for r in lattice.lattice(words, m).collect()}
+    assert got == {w: sorted(m.ranks[w[i : i + 2]] | i << 8 for i in range(len(w) - 1) if w[i : i + 2] in m.ranks) for w in got}
+    assert len(got) == 4 and any(got.values())
