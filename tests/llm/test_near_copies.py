@@ -89,3 +89,37 @@ def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
     got = near_copies.one_of_each(docs(spark, list(enumerate(texts)))).collect()
     assert len(got) == len(set(plain_groups(texts)))
     assert max(most)[0] <= 20 * len(texts), max(most)
+
+
+def test_what_a_text_sends_grows_slowly():
+    sent = lambda texts: (how := near_copies.blocks(texts)).n * (1 + how.low) * near_copies.ENTRY.itemsize
+    assert sent(220_000) <= 1.5 * sent(44_000)
+    assert sent(13_000_000) <= 25 * sent(44_000)  # more bits a block, so more blocks, and nine copies
+
+
+def test_a_bucket_in_passes_finds_the_same(monkeypatch):
+    r = random.Random(10)
+    texts = prose(10, 150, words=60)
+    texts += [near(r, t, r.choice([1, 2, 4])) for t in texts for _ in range(3)]
+    how = near_copies.Blocks(16, 4, 2)
+    t = np.arange(len(texts))
+    bucket, e = near_copies.entries(t, [near_copies.fingerprint(near_copies.shingles(x.encode(), 5), how.words) for x in texts], how, range(how.n))
+    some = np.unique(bucket)
+    want = [near_copies.met(e[bucket == b], int(b), how).tolist() for b in some]
+    monkeypatch.setattr(simhash, "AT_ONCE", 500)
+    assert [near_copies.met(e[bucket == b], int(b), how).tolist() for b in some] == want
+    assert sum(x != list(range(len(x))) for x in want) > 4
+
+
+def test_sets_are_shuffled_once(spark, monkeypatch):
+    texts = prose(11, 40, words=60)
+    members = spark.createDataFrame([(near_copies.key(x.encode()), 7) for x in texts], "node long, root long").distinct()
+    plans, kept = {}, common.kept
+
+    def looked(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(common, "kept", looked)
+    near_copies.verified(members, docs(spark, list(enumerate(texts))), 5, 0.8)
+    assert "strategy=broadcast" in plans["similar"] and "strategy=broadcast" in plans["shingles"]
